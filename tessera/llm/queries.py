@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, mixing, quality, tokens
+from . import decontaminate, jaccard, lines, mixing, quality, tokens
 from .shared import documents
 
 
@@ -30,16 +30,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_mix_sources": op2_mix_sources,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op7_quality_rules": op7_quality_rules,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
     "op4_line_dedup": lines.SQL,
     "op5_decontaminate": decontaminate.SQL,
+    "op8_jaccard_join": jaccard.SQL,
 }
