@@ -1,10 +1,16 @@
-"""Corpus preparation as a chain of stages, each written as Parquet and read again."""
+"""Corpus preparation as a chain of stages, each written as Parquet and read again.
+
+Documents that fail the quality rules go; of each group of near duplicates one
+stays; documents that hold benchmark passages go; the rest is mixed by source,
+documents repeating as often as the mix takes them; what remains is written as
+token records, and the last stage reports them.  Nothing else drops a document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality
+from tessera.llm import decontaminate, jaccard, mixing, quality, tokens
 from tessera.llm.shared import documents, materialize
 
 
@@ -13,8 +19,32 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep_good(docs)
 
 
+def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of smallest id of each group linked by similarity."""
+    return jaccard.keep_one(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents in which a window of a benchmark item occurs."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each source to its target weight; a document is a row for each time it is taken."""
+    return mixing.mix(docs)
+
+
+def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the token records and report what they hold."""
+    return tokens.token_report(spark, docs)
+
+
 STAGES = [
     ("quality rules", good_documents),
+    ("n-gram Jaccard join", one_of_similar),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing sources to target weights", mixed_sources),
+    ("token-ID / binary output", token_records),
 ]
 
 #: Stages of this chain are not expressible in SQL; tests hold them against brute force.
@@ -22,7 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``; the rows of the last one."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-").replace("/", "-"))
+        docs = materialize(stage(spark, docs, sf_dir), "".join(c if c.isalnum() else "-" for c in name))
     return STAGES[-1][1](spark, docs, sf_dir)
