@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, jaccard, lines, lm, mixing, quality, secrets, tokens
+from . import decontaminate, html, jaccard, lines, lm, mixing, quality, repeats, secrets, tokens
 from .shared import documents
 
 
@@ -42,6 +42,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(documents(spark, sf_dir))
 
 
+def op9_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(documents(spark, sf_dir))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_main_text": op6_main_text,
     "op7_quality_rules": op7_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_byte_repeats": op9_byte_repeats,
     "op10_secret_scan": op10_secret_scan,
 }
 
