@@ -41,7 +41,7 @@ KINDS = {
     "access": (r"(AKIA[A-Z0-9]+)", 1, 16),
     "hex": (r"([0-9a-f]{32,})", 1, 32),
     "ident": (r"""(?i:access_?key_?id|client_?id|key_?id|user_?name|user_?id|user|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]+)""", 1, 3),
-    "opaque": (r"(?<![A-Za-z0-9+/_-])((?=(?:[^0-9]*[0-9]){4})[A-Za-z0-9+/_-]{20,})", 1, 20),
+    "opaque": (r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,})", 1, 20),
     "endpoint": (r"""((?:https?|s3|ftp|jdbc:[a-z]+)://[^\x20\x09-\x0D"'<>]+)""", 1, 8),
 }
 #: A cheap test that says where the pattern cannot match.
