@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -179,7 +180,8 @@ class Index:
         codec = train_codec(trained, nbits)
         values = codec_values(codec)
         codec = tokens.sparkSession.createDataFrame([(values[0], values[1], values[2])], "nbits int, cutoffs array<double>, weights array<double>")
-        index = compress(res, codec).select("cid", "pid", "pos", "codes")
+        # Cells and search both read it; what memory cannot hold goes to disk, what is lost is built again.
+        index = compress(res, codec).select("cid", "pid", "pos", "codes").persist(StorageLevel.MEMORY_AND_DISK)
         return cls(centroids, codec, index, cell_sizes(index, centroids), {"num_passages": passages, "num_embeddings": n, "avg_doclen": n / max(1, passages), "nbits": nbits})
 
     def write(self, path: str, mode: str = "errorifexists") -> Index:
