@@ -43,6 +43,7 @@ TAILS, CLASSES, SWEEPS, ALPHA = 512, 64, 6, 0.5
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0xE0D)
 ITEM_BLOCK = 1024
+SEQUENCE_BYTES = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -75,9 +76,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 h, tail, _ = _tokens(part.column("text"))
                 u, at, c = np.unique(h, return_index=True, return_counts=True)
                 held.append((u, tail[at], c))
-                if sum(len(x[0]) for x in held) > 2_000_000:
+                if sum(len(x[0]) for x in held) > 1_000_000:
                     held[:] = [merge()]
-                    if len(held[0][0]) > 1_000_000:
+                    if len(held[0][0]) > 700_000:
                         yield emit(held.pop())
         if held:
             yield emit(merge())
@@ -190,9 +191,10 @@ def neighbours(encoded: DataFrame, classes: np.ndarray, items: int) -> np.ndarra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((items, 2, k), np.int64)
         for batch in batches:
-            item, before, _ = _sequences(batch)
-            both[:, 0] += np.bincount(item * k + classes[before], minlength=items * k).reshape(items, k)
-            both[:, 1] += np.bincount(before * k + classes[item], minlength=items * k).reshape(items, k)
+            for part in bk.slices(batch, "seq", SEQUENCE_BYTES):
+                item, before, _ = _sequences(part)
+                both[:, 0] += np.bincount(item * k + classes[before], minlength=items * k).reshape(items, k)
+                both[:, 1] += np.bincount(before * k + classes[item], minlength=items * k).reshape(items, k)
         for lo in range(0, items, ITEM_BLOCK):
             part = both[lo : lo + ITEM_BLOCK]
             if part.any():
@@ -255,11 +257,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            item, before, first = _sequences(batch)
-            x = np.add.reduceat(transition[classes[before], classes[item]] + emission[item], first[:-1])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "inside")), pa.array(x)], ["rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "inside", "path"])
+            for part in bk.slices(batch, "seq", SEQUENCE_BYTES):
+                item, before, first = _sequences(part)
+                x = np.add.reduceat(transition[classes[before], classes[item]] + emission[item], first[:-1])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "inside")), pa.array(x)], ["rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "inside", "path"])
 
     kept = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, inside double, path double"
     paths = encoded.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "inside", "seq").mapInArrow(score, kept)
