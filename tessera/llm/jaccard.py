@@ -44,7 +44,9 @@ from .graph import components
 from .shared import materialize
 
 SHINGLE = 5
-COMBINE, RARE, COMBINATIONS, BLOCK = 16, 16, 2_000, 512
+COMBINE, RARE, COMBINATIONS, BLOCK = 16, 16, 2_000, 1_024
+#: Small groups share a verification task, about this many classes in each.
+TASK = 1_024
 FILTER_BITS = 1 << 24
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -163,9 +165,9 @@ def _links(sizes: np.ndarray, tokens: list[np.ndarray], left: np.ndarray, right:
         m = np.zeros((len(tokens), min(4096, wide - lo)), np.float32)
         m[who[part], column[part] - lo] = 1
         both += m @ m.T
-    both = both.astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - both
-    out = 100 * both >= 80 * union
+    # 100 both >= 80 (sums - both); the counts are whole numbers that single floats hold exactly.
+    sums = (sizes[:, None] + sizes[None, :]).astype(np.int32)
+    out = 9 * both.astype(np.int32) >= 4 * sums
     np.fill_diagonal(out, False)
     return out & ((left[:, None] & right[None, :]) | (right[:, None] & left[None, :]))
 
@@ -242,7 +244,7 @@ def similar(docs: DataFrame) -> DataFrame:
     placed = members.join(sizes, "root").withColumn("block", block)
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     placed = placed.select("cls", "root", "copies", "block", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    n_small = max(1, members.count() // (4 * BLOCK))
+    n_small = max(1, members.count() // TASK)
     bucket = F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(n_small)))
     tasks = placed.withColumn("bucket", bucket).join(whole, "cls").drop("blocks")
     schema = "cls long, linked long, first long"
