@@ -139,4 +139,6 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with exactly the columns they came with."""
-    return judge(docs).where("kept").select("row.*")
+    # The row number ties the filter to its place: pushed down, it would repeat the
+    # nested expressions behind "kept" once for each use, beyond any planner's patience.
+    return judge(docs).withColumn("at", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("at") >= 0)).select("row.*")
