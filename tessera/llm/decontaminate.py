@@ -180,26 +180,30 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     """
     scan = _scanner(docs.sparkSession, benchmark_windows(bench), block)
 
+    # Columns travel by number, for a name with a dot would not be found.
+    at = docs.columns.index("text")
+    name = f"c{at}"
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bk.slices(batch):
-                _, s, e, first, hit, _ = scan(part.column("text"))
+            for part in bk.slices(batch, name):
+                _, s, e, first, hit, _ = scan(part.column(name))
                 if remove == "documents":
                     n_hit = np.add.reduceat(np.append(hit, False).astype(np.int64), first[:-1]) * (np.diff(first) > 0)
                     yield part.filter(pa.array(n_hit == 0))
                     continue
-                raw, offs = bk.flat(part.column("text"))
-                texts = part.column("text").to_pylist()
+                raw, offs = bk.flat(part.column(name))
+                texts = part.column(name).to_pylist()
                 for d in np.unique(bk.owner(first)[hit]).tolist():
                     h = np.flatnonzero(hit[first[d] : first[d + 1]]) + first[d]
                     ends = np.flatnonzero(np.diff(h) > 1)
                     lo, hi = s[h[np.r_[0, ends + 1]]], e[h[np.r_[ends, len(h) - 1]]]
                     keep = np.r_[offs[d], hi], np.r_[lo, offs[d + 1]]
                     texts[d] = b"\n".join(raw[x:y].tobytes() for x, y in zip(*keep, strict=True)).decode()
-                at = part.schema.get_field_index("text")
                 yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return plain.mapInArrow(clean, plain.schema).toDF(*docs.columns)
 
 
 SQL = r"""
