@@ -76,7 +76,8 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, cls, n, prefix: the extended prefix of each set, in hash order."""
+    """cls, n, prefix, and all columns but the text: the extended prefix of each set, in hash order."""
+    carried = [c for c in docs.columns if c != "text"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +91,9 @@ def sets(docs: DataFrame) -> DataFrame:
                     kept.append(tokens[: size - t + min(COMBINE, t)])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bk.as_long(np.concatenate(kept))))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), prefix], ["doc_id", "cls", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), prefix], [*carried, "cls", "n", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, cls long, n long, prefix array<long>")
+    return docs.mapInArrow(build, ", ".join(f"{c} long" for c in carried) + ", cls long, n long, prefix array<long>")
 
 
 def _required(n: Column) -> Column:
@@ -227,9 +228,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select(bit("doc_id").alias("bit"), "text").mapInArrow(build, "cls long, tokens binary")
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, n_similar, component_id."""
-    docs = docs.select("doc_id", "text")
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows (doc_id, text and any longs), and (cls, n_similar, component_id, root) of the classes; root tells components apart."""
     own = materialize(sets(docs), "shingle-sets")
     some = own.where("n > 0")
     classes = some.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -257,18 +257,43 @@ def similar(docs: DataFrame) -> DataFrame:
         top = components(found.select(F.col("cls").alias("u"), F.col("first").alias("v")))
     named = top.join(classes, F.col("node") == F.col("cls")).select("node", "root", "rep")
     names = named.groupBy("root").agg(F.min("rep").alias("name"))
-    place = named.join(names, "root").select(F.col("node").alias("cls"), "name")
-    info = classes.join(linked, "cls", "left").join(place, "cls", "left").select("cls", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), F.coalesce("name", "rep").alias("component_id"))
+    place = named.join(names, "root").select(F.col("node").alias("cls"), "name", "root")
+    return own, classes.join(linked, "cls", "left").join(place, "cls", "left").select("cls", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), F.coalesce("name", "rep").alias("component_id"), F.coalesce("root", "cls").alias("root"))
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, n_similar, component_id."""
+    own, info = _grouped(docs.select("doc_id", "text"))
+    info = info.drop("root")
     out = own.select("doc_id", "cls", "n").join(info, "cls", "left")
     empty = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, 0).otherwise(F.col("n_similar")).cast("long").alias("n_similar"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """rid, and ``row`` with all columns.  A row is named by its place in its file, so that each reading gives the same names."""
+    meta = None
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        meta = docs.metadataColumn("_metadata")
+    if meta is None or "row_index" not in docs.select(meta.alias("m")).schema["m"].dataType.names:
+        docs = materialize(docs, "rows")
+        meta = docs.metadataColumn("_metadata")
+    return docs.select(F.xxhash64(meta["file_path"], meta["row_index"]).alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of similar ones, the one of smallest id, with the columns it came with."""
-    drop = similar(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.join(drop, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
+    """One row of each group of similar ones, with the columns it came with.
+
+    It is the row of smallest id (null ids last), then of smallest text hash,
+    then of smallest row name; rows that share an id are rows of their own.
+    """
+    rows = _numbered(docs)
+    own, info = _grouped(rows.select("rid", "row.doc_id", F.xxhash64("row.text").alias("text_hash"), "row.text"))
+    placed = own.where("n > 0").join(info.select("cls", "root"), "cls").select("rid", "root", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "rid").alias("place"))
+    placed = materialize(placed, "placed")
+    first = placed.groupBy("root").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    drop = placed.join(first, "root").where("rid <> first.rid").select(F.col("rid").alias("gone"))
+    return rows.join(drop, F.col("rid") == F.col("gone"), "left_anti").select("row.*")
 
 
 SQL = r"""

@@ -252,6 +252,24 @@ def test_jaccard(odd, limits, monkeypatch):
     assert max(x[1] for x in want.values()) > 5
 
 
+def test_keep_one_keeps_one_row_of_each_group(spark, odd, tmp_path):
+    """Rows, not ids: repeated rows, null ids, and two texts under one id."""
+    base, other = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    near = base + " more"
+    own = [(1, base), (1, base), (1, base), (2, near), (None, near), (5, other), (5, near), (6, None), (6, None)]
+    lone = [(None, " ".join(f"c{i}" for i in range(60)))] * 4
+    df = spark.createDataFrame([(i, t, "en", "a", k) for k, (i, t) in enumerate(own + lone)], odd.schema)
+    want = sorted([(1, base), (5, other), (6, ""), (6, ""), (-1, lone[0][1])])
+    df.repartition(3).write.parquet(str(tmp_path / "d"))
+    for d in (df, spark.read.parquet(str(tmp_path / "d"))):
+        got = jaccard.keep_one(d).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in got) == want
+    many = odd.unionAll(odd)
+    for _ in range(2):
+        many = many.unionAll(many)
+    assert jaccard.keep_one(many).where("length(trim(text)) > 20").count() == jaccard.keep_one(odd).where("length(trim(text)) > 20").count()
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 60), (60, 55), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in graph.components(e).collect()}
