@@ -3,8 +3,10 @@
 Each text is described by two histograms: character classes, and the common
 words of its language.  A language's reference is the sum of the histograms of
 all its documents.  A document whose Jensen-Shannon distance (base 2, square
-root, so within 0 and 1) from its reference exceeds the threshold is rejected;
-below a minimum length a distance says little, so short texts pass on it.
+root, so within 0 and 1) from its reference exceeds the threshold is rejected.
+Shares of few words scatter, so texts of 50 to 99 words are allowed a larger word
+distance; below 50 the base rule rejects.  Under 200 characters the character
+distance says little, and texts pass on it.
 
 A word is common when it makes up at least ``COMMON_SHARE`` of its language's
 words, hence a language has at most ``1 / COMMON_SHARE`` of them: the bound is
@@ -28,9 +30,11 @@ WS = r"[\x20\x09-\x0D]"
 COMMON_SHARE = 0.005
 MAX_CHAR_DISTANCE = 0.33
 MAX_WORD_DISTANCE = 0.28
+#: The word distance allowed to texts of fewer than ``FEW_WORDS`` words, whose shares are coarser.
+MAX_FEW_WORD_DISTANCE = 0.4
 MIN_CHARS = 200
-MIN_WORDS = 100
-MIN_BASE_WORDS = 50
+MIN_BASE_WORDS = MIN_WORDS = 50
+FEW_WORDS = 100
 REPEAT_PERCENT = 50
 
 #: Disjoint character classes; what is in none of them is a lower-case ASCII letter or other ASCII.
@@ -128,7 +132,8 @@ def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
         F.when(F.col("n_chars") >= MIN_CHARS, js_distance(F.transform("chars", lambda x: x / F.col("n_chars")), F.col("ref_chars"))).alias("char_distance"),
         F.when(F.col("n_words") >= MIN_WORDS, js_distance(shares, F.col("ref_words"))).alias("word_distance"),
     )
-    far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
+    most = F.when(F.col("n_words") < FEW_WORDS, MAX_FEW_WORD_DISTANCE).otherwise(MAX_WORD_DISTANCE)
+    far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > most)
     return d.withColumn("kept", ~F.col("base_failed") & ~far)
 
 

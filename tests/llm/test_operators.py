@@ -222,6 +222,46 @@ def test_quality(odd):
         assert not (failed and r.kept)
 
 
+def distance(p, q):
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    return math.sqrt(max(0, sum(x * math.log2(x / z) for y in (p, q) for x, z in zip(y, m, strict=True) if x > 0) / 2))
+
+
+def brute_kept(rows):
+    """The verdict by id, from the rules as stated."""
+    chars = lambda t: [len(re.findall(x, t)) for x in (r"[\x20\x09-\x0D]", "[A-Z]", "[0-9]", "[.,;:!?'\"()-]", "[#*$%&|<>]", r"[^\x00-\x7F]")]
+    shares = lambda x, n: [1 - sum(x) / max(1, n), *[y / max(1, n) for y in x]]
+    by_lang = defaultdict(list)
+    for i, t, lang in rows:
+        by_lang[lang].append((i, t or ""))
+    out = {}
+    for own in by_lang.values():
+        counts = Counter(w for _, t in own for w in re.findall(WS, t))
+        total = sum(counts.values())
+        common = [w for w, c in counts.items() if c >= 0.005 * total]
+        ref_w = shares([counts[w] for w in common], total)
+        ref_c = shares(np.sum([chars(t) for _, t in own], 0).tolist(), sum(len(t) for _, t in own))
+        for i, t in own:
+            w = re.findall(WS, t)
+            tri = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+            rep = {j + d for j in range(len(w) - 2) if tri[tuple(w[j : j + 3])] > 1 for d in range(3)}
+            c = Counter(w)
+            far_w = distance(shares([c[x] for x in common], len(w)), ref_w) > (0.28 if len(w) >= 100 else 0.4)
+            far_c = len(t) >= 200 and distance(shares(chars(t), len(t)), ref_c) > 0.33
+            out[i] = not (len(w) < 50 or 100 * len(rep) > 50 * len(w) or far_w or far_c)
+    return out
+
+
+def test_quality_verdict(spark, odd, data):
+    r = random.Random(5)
+    junk = [(500 + n, " ".join("".join(r.choice("abcdeginorst") for _ in range(6)) for _ in range(n)), "en", "a", 1) for n in (49, 50, 75, 99, 100, 150)]
+    for docs in (odd.unionAll(spark.createDataFrame(junk, odd.schema)), spark.read.parquet(f"{data}/documents.parquet")):
+        got = by_id(quality.quality_report(docs))
+        assert {i: x.kept for i, x in got.items()} == brute_kept([(x.doc_id, x.text, x.lang) for x in docs.collect()])
+        if 500 + 75 in got:
+            assert not any(got[x[0]].kept for x in junk)
+
+
 # 8 -------------------------------------------------------------------------
 
 
