@@ -1,6 +1,7 @@
 """Text encoders: a registry, and a hashing encoder that needs no model.
 
-An encoder turns (id, text) rows into token vectors (id, pos, emb).
+An encoder turns (id, text) rows into token vectors (id, pos, emb), of whole
+texts where the limit of tokens is None.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .vectors import l2_normalize
 
-Encoder = Callable[[DataFrame, int], DataFrame]
+Encoder = Callable[[DataFrame, int | None], DataFrame]
 _registry: dict[str, Encoder] = {}
 
 
@@ -34,18 +35,19 @@ def words(text: str) -> F.Column:
 def hashing_encoder(dim: int = 64) -> Encoder:
     """Each word a unit vector of signed hashed components: same word, same vector."""
 
-    def encode(rows: DataFrame, max_tokens: int) -> DataFrame:
-        toks = rows.select("id", F.posexplode(F.slice(words("text"), 1, max_tokens)).alias("pos", "word"))
+    def encode(rows: DataFrame, max_tokens: int | None) -> DataFrame:
+        own = words("text") if max_tokens is None else F.slice(words("text"), 1, max_tokens)
+        toks = rows.select("id", F.posexplode(own).alias("pos", "word"))
         raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.pmod(F.xxhash64(F.col("word"), i), F.lit(2001)) - 1000) / 1000.0)
         return toks.select("id", "pos", l2_normalize(raw).alias("emb"))
 
     return encode
 
 
-def arrow_encoder(load: Callable[[], Callable[[list[str], int], list[list[list[float]]]]], batch: int = 128) -> Encoder:
+def arrow_encoder(load: Callable[[], Callable[[list[str], int | None], list[list[list[float]]]]], batch: int = 128) -> Encoder:
     """Adapter for a model: ``load`` runs once per task and returns texts, limit -> vectors by text."""
 
-    def encode(rows: DataFrame, max_tokens: int) -> DataFrame:
+    def encode(rows: DataFrame, max_tokens: int | None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = load()
             for b in batches:

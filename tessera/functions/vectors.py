@@ -38,8 +38,10 @@ def l2_distance(a: Column | str, b: Column | str) -> Column:
 
 def l2_normalize(a: Column | str) -> Column:
     """The unit vector; a zero vector stays as it is."""
-    n = l2_norm(a)
-    return F.when(n > 0, F.transform(_d(a), lambda x: x / n)).otherwise(_d(a))
+    # Bound in lambdas: otherwise the vector and its norm are computed anew for each component.
+    by = lambda v, n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    unit = lambda v: F.get(F.transform(F.array(l2_norm(v)), lambda n: by(v, n)), F.lit(0))
+    return F.get(F.transform(F.array(_d(a)), unit), F.lit(0))
 
 
 def is_padding(a: Column | str) -> Column:

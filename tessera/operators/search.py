@@ -97,6 +97,20 @@ def token_scores(probes: DataFrame, query_tokens: DataFrame, index: DataFrame, w
     return rows.mapInArrow(run, f"qid {kinds['qid']}, t {kinds['t']}, cid long, pid {kinds['pid']}, s double")
 
 
+def repeated_token_max(probes: DataFrame, query_tokens: DataFrame, index: DataFrame, weights: list[float]) -> DataFrame:
+    """token_max of token_scores where tokens repeat, as words do: each distinct
+    query vector meets each distinct code of a cell once, whatever holds them."""
+    key = F.xxhash64("emb")
+    asked = query_tokens.select("qid", "t", key.alias("v"))
+    vectors = query_tokens.select(F.lit(0).alias("qid"), key.alias("t"), "emb").dropDuplicates(["t"])
+    cells = probes.join(asked, ["qid", "t"]).select(F.lit(0).alias("qid"), F.col("v").alias("t"), "cid", "score").dropDuplicates(["t", "cid"])
+    held = index.select("cid", "pid", F.xxhash64("codes").alias("code"), "codes")
+    codes = held.select("cid", F.col("code").alias("pid"), "codes").dropDuplicates(["cid", "pid"])
+    scored = token_scores(cells, vectors, codes, weights).select(F.col("t").alias("v"), "cid", F.col("pid").alias("code"), "s")
+    best = scored.join(held.select("cid", "code", "pid").distinct(), ["cid", "code"]).groupBy("v", "pid").agg(F.max("s").alias("mx"))
+    return asked.join(best, "v").select("qid", "t", "pid", "mx")
+
+
 def token_max(scores: DataFrame) -> DataFrame:
     """(qid, t, pid, mx): the best score of a passage for a token."""
     return scores.groupBy("qid", "t", "pid").agg(F.max("s").alias("mx"))
@@ -134,15 +148,18 @@ def search(index: Index, query_tokens: DataFrame, k: int = 10, nprobe: int = 16,
     q = real_tokens(query_tokens)
     scores = centroid_scores_sql(q, index.centroids) if engine == "sql" else centroid_scores(q, index.centroids, bound)
     missed = missing(scores, index.cells, index.t_prime(k, t_prime), bound)
-    rate = token_scores_sql if engine == "sql" else token_scores
     rows = restrict(index.index, pids if pids is not None and "qid" not in pids.columns else None, filter_fn)
-    maxima = token_max(rate(probe(scores, nprobe), q, rows, weights))
+    if engine == "repeats":
+        maxima = repeated_token_max(probe(scores, nprobe), q, rows, weights)
+    else:
+        rate = token_scores_sql if engine == "sql" else token_scores
+        maxima = token_max(rate(probe(scores, nprobe), q, rows, weights))
     if pids is not None and "qid" in pids.columns:
         maxima = restrict(maxima, pids)
     return top_k(passage_scores(maxima, missed), k)
 
 
-def search_text(index: Index, queries: DataFrame, encoder, k: int = 10, max_tokens: int = 32, **options) -> DataFrame:  # noqa: ANN001
+def search_text(index: Index, queries: DataFrame, encoder, k: int = 10, max_tokens: int | None = 32, **options) -> DataFrame:  # noqa: ANN001
     """Queries as (qid, text), encoded by an encoder of the registry."""
     q = encoder(queries.select(F.col("qid").alias("id"), "text"), max_tokens).select(F.col("id").alias("qid"), F.col("pos").alias("t"), "emb")
     return search(index, q, k, **options)

@@ -21,6 +21,8 @@ from ..functions import vectors as V
 
 #: Centroids travel to the tasks in blocks of at most this many bytes.
 CENTROID_BYTES = 64 << 20
+#: Scores of tokens by cells that a task holds at once.
+SCORE_CELLS = 4 << 20
 
 
 def id_order(column: str, seed: int) -> list[Column]:
@@ -65,12 +67,16 @@ def assign(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             ids, m = shared.value
+            rows = max(1, SCORE_CELLS // len(ids))
             for b in batches:
                 if not b.num_rows:
                     continue
-                s = np.round(_matrix(b.column("emb")) @ m.T, 12)
-                at = s.argmax(1)
-                top = s[np.arange(len(s)), at]
+                x = _matrix(b.column("emb"))
+                at, top = np.empty(len(x), np.int64), np.empty(len(x))
+                for lo in range(0, len(x), rows):
+                    s = np.round(x[lo : lo + rows] @ m.T, 12)
+                    at[lo : lo + rows] = s.argmax(1)
+                    top[lo : lo + rows] = s.max(1)
                 old = b.column("cell_score").to_numpy(zero_copy_only=False)
                 old_id = b.column("cid").to_numpy(zero_copy_only=False)
                 new = top > old
@@ -146,6 +152,33 @@ def chunk_plan(passages: DataFrame, size: int) -> DataFrame:
     return c.withColumn("token_offset", F.sum("tokens").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
 
 
+def _sums(assigned: DataFrame) -> DataFrame:
+    """(cid, n, total): tokens of each cell and their sum, added up in the tasks before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(0, np.int64), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, cid = _matrix(b.column("emb")), b.column("cid").to_numpy()
+            order = np.argsort(cid, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(cid[order]) > 0])
+            own = cid[order][first]
+            if len(n) <= own[-1]:
+                more = int(own[-1]) + 1 - len(n)
+                n = np.r_[n, np.zeros(more, np.int64)]
+                total = np.zeros((more, x.shape[1])) if total is None else np.vstack([total, np.zeros((more, x.shape[1]))])
+            n[own] += np.diff(np.r_[first, len(cid)])
+            total[own] += np.add.reduceat(x[order], first)
+        at = np.flatnonzero(n)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(list(total[at]), pa.list_(pa.float64()))], ["cid", "n", "total"])
+
+    dims = assigned.select("cid", "emb").mapInArrow(run, "cid long, n long, total array<double>")
+    parts = dims.select("cid", "n", F.posexplode("total").alias("d", "x")).groupBy("cid", "d").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    return parts.groupBy("cid").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda y: y["x"]).alias("total"))
+
+
 def kmeans(tokens: DataFrame, cells: int, iterations: int = 4, seed: int = 123) -> DataFrame:
     """Spherical k-means by Lloyd's steps; an emptied cell keeps its centroid."""
     start = tokens.orderBy(F.xxhash64("pid", "pos", F.lit(seed)), "pid", "pos").limit(cells).select("emb").toArrow()
@@ -154,9 +187,10 @@ def kmeans(tokens: DataFrame, cells: int, iterations: int = 4, seed: int = 123)
     as_frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "cid long, emb array<double>")
     for _ in range(iterations):
         a = assign(tokens.select("pid", "pos", "emb"), as_frame(m))
-        means = a.select("cid", F.posexplode("emb").alias("d", "x")).groupBy("cid", "d").agg(F.avg("x").alias("x")).toArrow()
+        means = _sums(a).toArrow()
         m = m.copy()
-        m[means.column("cid").to_numpy(), means.column("d").to_numpy()] = means.column("x").to_numpy()
+        total = np.array(means.column("total").to_pylist(), np.float64).reshape(-1, m.shape[1])
+        m[means.column("cid").to_numpy()] = total / means.column("n").to_numpy()[:, None]
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     return as_frame(m)
 

@@ -106,6 +106,25 @@ def test_buckets_and_packing(spark):
     assert list(r.c) == [0, 1, 3, 0] and r.h2 == "1C" and r.h4 == "0130"
 
 
+def test_hash_search_reads_whole_texts(spark, tmp_path):
+    """Each item's own document is told only by words far behind, in the document and in the item."""
+    r = np.random.default_rng(2)
+    common = [f"w{i}" for i in range(40)]
+    prose = lambda n: " ".join(r.choice(common, n))
+    docs = [(i, prose(700) + f" rare{i} last{i}") for i in range(20)]
+    items = [(i, prose(60) + f" last{i} rare{i}") for i in range(0, 20, 3)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = Q.QUERIES["hash_encode_search"](spark, str(tmp_path)).where("rank = 1").collect()
+    assert {(int(x.qid), x.pid) for x in got} == {(i, i) for i, _ in items}
+
+
+def test_repeated_tokens_score_alike(toy):
+    _, _, _, index, qt = toy
+    a, b = (sorted((x.qid, x.rank, x.pid, round(x.score, 9)) for x in search.search(index, qt.unionAll(qt.selectExpr("qid", "t + 3 AS t", "emb")), 5, 3, 10, 8, e).collect()) for e in ("arrow", "repeats"))
+    assert a == b
+
+
 def test_metrics_by_hand(spark):
     ranking = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 3, 1)], "qid string, pid long, rank int")
     qrels = spark.createDataFrame([("a", 2, 1), ("a", 9, 1), ("b", 4, 1), ("c", 5, 1)], "qid string, pid long, grade int")
