@@ -106,6 +106,16 @@ def test_buckets_and_packing(spark):
     assert list(r.c) == [0, 1, 3, 0] and r.h2 == "1C" and r.h4 == "0130"
 
 
+@pytest.mark.parametrize("name", ["topk_nearest_4bit", "topk_nearest_2bit"])
+def test_nearest_recall(spark, data, name):
+    e = spark.read.parquet(f"{data}/embeddings.parquet").toPandas().sort_values("vec_id")
+    m, ids = np.array(e.embedding.tolist(), np.float64), e.vec_id.to_numpy()
+    want = {(q, p) for q, v in zip(ids, m, strict=True) if q % 50 == 0 for p in ids[np.lexsort((ids, -np.round(m @ v, 10)))[: Q.K]]}
+    got = {(r.qid, r.pid) for r in Q.QUERIES[name](spark, data).collect()}
+    print(name, "recall", len(got & want) / len(want))
+    assert {q for q, _ in got} == {q for q, _ in want} and len(got & want) >= 0.9 * len(want)
+
+
 def test_hash_search_reads_whole_texts(spark, tmp_path):
     """Each item's own document is told only by words far behind, in the document and in the item."""
     r = np.random.default_rng(2)
