@@ -150,6 +150,12 @@ def _nearest(spark: SparkSession, d: str, nbits: int = 4) -> DataFrame:
     return _ranked(search.top_k(staged.maxsim(staged.token_similarities(asked, emb, found)), K))
 
 
+def _all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every query token with every passage token."""
+    q, t = query_tokens(spark, d), doc_tokens(spark, d)
+    return t.select("pid", "pos", F.col("emb").alias("b")).crossJoin(F.broadcast(q.select("qid", "t", F.col("emb").alias("a"))))
+
+
 def _kmeans(spark: SparkSession, d: str) -> DataFrame:
     return build.kmeans(doc_tokens(spark, d).drop("label"), CELLS).select("cid", F.transform("emb", lambda x: F.round(x, 6)).alias("emb"))
 
@@ -185,6 +191,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vec_dot": lambda s, d: _pairs(s, d).select("qid", "pid", F.round(V.dot("a", "b"), 4).alias("x")),
     "topk_nearest_4bit": lambda s, d: _nearest(s, d, 4),
     "topk_nearest_2bit": lambda s, d: _nearest(s, d, 2),
+    "vec_dot_all": lambda s, d: _all_pairs(s, d).select("qid", "t", "pid", "pos", F.round(V.dot("a", "b"), 4).alias("x")),
+    "vec_l2_dist_all": lambda s, d: _all_pairs(s, d).select("qid", "t", "pid", "pos", F.round(V.l2_distance("a", "b"), 4).alias("x")),
     "vec_l2norm": lambda s, d: doc_tokens(s, d).select("pid", "pos", F.round(V.l2_norm("emb"), 4).alias("x")),
     "vec_l2_dist": lambda s, d: _pairs(s, d).select("qid", "pid", F.round(V.l2_distance("a", "b"), 4).alias("x")),
     "centroid_scores": lambda s, d: _scores(s, d).select("qid", "t", "cid", _r("score")),
@@ -290,6 +298,8 @@ ORACLES: dict[str, str] = {
     "topk_2bit": _search_sql(2),
     "topk_4bit_sql": _search_sql(4),
     "vec_dot": _with(_Q, _D, _PAIR) + "SELECT qid, pid, round(list_inner_product(a, b), 4) AS x FROM p",
+    "vec_dot_all": _with(_Q, _D) + "SELECT qid, t, pid, pos, round(list_inner_product(q.e, d.e), 4) AS x FROM q, d",
+    "vec_l2_dist_all": _with(_Q, _D) + "SELECT qid, t, pid, pos, round(list_distance(q.e, d.e), 4) AS x FROM q, d",
     "vec_l2norm": _with(_D) + "SELECT pid, pos, round(sqrt(list_inner_product(e, e)), 4) AS x FROM d",
     "vec_l2_dist": _with(_Q, _D, _PAIR) + "SELECT qid, pid, round(list_distance(a, b), 4) AS x FROM p",
     "centroid_scores": _with(_Q, _C, _CS) + "SELECT qid, t, cid, round(score, 4) AS score FROM cs",

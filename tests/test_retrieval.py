@@ -106,6 +106,14 @@ def test_buckets_and_packing(spark):
     assert list(r.c) == [0, 1, 3, 0] and r.h2 == "1C" and r.h4 == "0130"
 
 
+@pytest.mark.parametrize("name", ["vec_dot_all", "vec_l2_dist_all"])
+def test_all_products(spark, data, duck, name):
+    got, want = Q.QUERIES[name](spark, data).toPandas(), duck.execute(Q.ORACLES[name]).df()
+    assert len(got) == 32 * Q.doc_tokens(spark, data).count()
+    a, b = (x.sort_values(["qid", "t", "pid", "pos"])["x"].to_numpy() for x in (got, want))
+    assert np.abs(a - b).max() < 2e-4
+
+
 @pytest.mark.parametrize("name", ["topk_nearest_4bit", "topk_nearest_2bit"])
 def test_nearest_recall(spark, data, name):
     e = spark.read.parquet(f"{data}/embeddings.parquet").toPandas().sort_values("vec_id")
