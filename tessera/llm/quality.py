@@ -14,9 +14,11 @@ by construction, not by a cut.  Everything is a DataFrame expression; nothing
 leaves the JVM and the texts themselves are never shuffled.
 
 Cases: a null or empty text has no words and fails the base rule; a null
-language is a language of its own; repeated rows are judged alike; an empty
-table gives an empty result; extra columns are carried or ignored, whatever
-their names.
+language is a language of its own; repeated rows are judged alike; a very long
+text is judged whole, in memory in proportion to its words; words that tie for
+a share are all common or all not, and a distance that equals its threshold
+passes; an empty table gives an empty result; extra columns are carried or
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,26 +59,39 @@ def _text(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.coalesce(F.col("row.text"), F.lit("")).alias("text"), F.coalesce(F.col("row.lang"), F.lit("\0")).alias("lang"))
 
 
+def _classed(texts: DataFrame) -> DataFrame:
+    """With ``n`` (characters) and ``chars`` (their number by class, what is in no class first) in place of the text."""
+    carried = [c for c in texts.columns if c != "text"]
+    # Lower-case letters and white space go first, in runs: what is left to count one by one is a small part of a text.
+    d = texts.select(*carried, F.char_length("text").cast("long").alias("n"), F.regexp_replace("text", "[a-z]+", "").alias("rest"))
+    d = d.select(*carried, "n", F.char_length("rest").cast("long").alias("n_rest"), F.regexp_replace("rest", WS + "+", "").alias("rest"))
+    space = F.col("n_rest") - F.char_length("rest").cast("long")
+    d = d.select(*carried, "n", *[(space if k == "space" else F.regexp_count("rest", F.lit(p)).cast("long")).alias(f"c_{k}") for k, p in CLASSES.items()])
+    return d.select(*carried, "n", F.array(F.col("n") - sum(F.col(f"c_{k}") for k in CLASSES), *[F.col(f"c_{k}") for k in CLASSES]).alias("chars"))
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """``row`` (the input row), lang, the base counts, and the class histogram ``chars``."""
-    w3 = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
-    d = _text(docs).select(
-        "row", "lang",
-        words(F.col("text")).alias("w"),
-        F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-        F.char_length("text").cast("long").alias("n"),
-        *[F.regexp_count("text", F.lit(p)).cast("long").alias(f"c_{k}") for k, p in CLASSES.items()],
+    """``row`` (the input row), lang, the words ``w``, the base counts, and the class histogram ``chars``."""
+    # Windows that run over the end hash fewer words, so they equal no whole one.
+    windows = F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
+    d = _classed(
+        _text(docs).select(
+            "row", "lang", "text",
+            words(F.col("text")).alias("w"),
+            F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        )
     )
     d = d.select(
-        "row", "lang", "w",
+        "row", "lang", "w", "n", "chars",
         F.size("w").cast("long").alias("n_words"),
-        (F.col("n") - F.col("c_space")).alias("word_chars"),
-        F.col("c_symbol").alias("n_symbols"),
+        (F.col("n") - F.col("chars")[1 + list(CLASSES).index("space")]).alias("word_chars"),
+        F.col("chars")[1 + list(CLASSES).index("symbol")].alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.array(F.col("n") - sum(F.col(f"c_{k}") for k in CLASSES), *[F.col(f"c_{k}") for k in CLASSES]).alias("chars"),
-        F.sort_array(F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.struct(w3(i).alias("h"), i.alias("i")))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).alias("s"),
+        windows.alias("h"),
     )
-    # Equal windows are neighbours in the sorted array.
+    # Most texts repeat no window; in the others, equal windows are neighbours in the sorted array.
+    numbered = F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    d = d.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), numbered).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop("h")
     same = lambda x, j: F.coalesce(F.get("s", j)["h"] == x["h"], F.lit(False))
     d = d.withColumn("again", F.filter("s", lambda x, i: same(x, i - 1) | same(x, i + 1))).drop("s")
     covered = F.array_distinct(F.flatten(F.transform("again", lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
@@ -88,8 +103,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _text(docs).select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c"))
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """One row per language: ``ref_chars`` (shares), ``common`` words and ``ref_words`` (shares, the rest last)."""
+def word_references(docs: DataFrame) -> DataFrame:
+    """One row per language: its ``common`` words and ``ref_words`` (shares, the rest last)."""
     counts = word_counts(docs)
     # A map-side sum per language costs nothing next to the counts and gives the denominator.
     counted = materialize(counts, "word-counts")
@@ -98,16 +113,17 @@ def references(docs: DataFrame) -> DataFrame:
         counted.join(totals, "lang").where(F.col("c") >= F.col("total") * COMMON_SHARE)
         .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct((F.col("c") / F.col("total")).alias("p"), "word")), asc=False).alias("x"))
     )
-    classes = _text(docs).select("lang", F.char_length("text").alias("n"), *[F.regexp_count("text", F.lit(p)).cast("long").alias(k) for k, p in CLASSES.items()]).groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in CLASSES])
-    n = F.greatest(F.col("n"), F.lit(1))
-    classes = classes.select("lang", F.array(*[x / n for x in (F.col("n") - sum(F.col(k) for k in CLASSES), *[F.col(k) for k in CLASSES])]).alias("ref_chars"))
     rest = F.lit(1.0) - F.aggregate("x", F.lit(0.0), lambda a, x: a + x["p"])
     common = common.select("lang", F.transform("x", lambda x: x["word"]).alias("common"), F.concat(F.transform("x", lambda x: x["p"]), F.array(F.greatest(rest, F.lit(0.0)))).alias("ref_words"))
-    return classes.join(common, "lang", "left").select(
-        "lang", "ref_chars",
-        F.coalesce("common", F.array().cast("array<string>")).alias("common"),
-        F.coalesce("ref_words", F.array(F.lit(1.0))).alias("ref_words"),
-    )
+    return materialize(common, "word-references")
+
+
+def char_references(classed: DataFrame) -> DataFrame:
+    """(lang, chars) to one row per language: ``ref_chars``, the shares of the classes."""
+    size = 1 + len(CLASSES)
+    sums = classed.groupBy("lang").agg(*[F.sum(F.col("chars")[i]).alias(f"s{i}") for i in range(size)])
+    n = F.greatest(sum(F.col(f"s{i}") for i in range(size)), F.lit(1))
+    return sums.select("lang", F.array(*[F.col(f"s{i}") / n for i in range(size)]).alias("ref_chars"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -117,33 +133,50 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
-    """``row`` with all its columns, the base counts, both distances, base_failed and kept."""
-    refs = materialize(references(docs), "language-references") if refs is None else refs
+def _word_judged(docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """``measure`` with ``word_distance`` in place of the words."""
     d = measure(docs).join(refs, "lang", "left")
-    n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
-    hist = F.transform("common", lambda c: (F.size("w") - F.size(F.array_remove("w", c))).cast("double"))
-    d = d.withColumn("hist", hist).withColumn("n_chars", n_chars)
-    shares = F.transform("hist", lambda x: x / F.greatest(F.col("n_words"), F.lit(1)))
-    shares = F.concat(shares, F.array(F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate("hist", F.lit(0.0), lambda a, x: a + x) / F.greatest(F.col("n_words"), F.lit(1)))))
-    d = d.select(
-        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        ((F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
-        F.when(F.col("n_chars") >= MIN_CHARS, js_distance(F.transform("chars", lambda x: x / F.col("n_chars")), F.col("ref_chars"))).alias("char_distance"),
-        F.when(F.col("n_words") >= MIN_WORDS, js_distance(shares, F.col("ref_words"))).alias("word_distance"),
-    )
+    # Places in the list of common words, 0 for all others: histograms are then over short arrays of numbers.
+    places = lambda w, common: F.filter(F.transform(w, lambda x: F.array_position(common, x)), lambda i: i > 0)
+    d = d.withColumns({"common": F.coalesce("common", F.array().cast("array<string>")), "ref_words": F.coalesce("ref_words", F.array(F.lit(1.0)))})
+    d = d.withColumn("at", places(F.col("w"), F.col("common"))).drop("w")
+    d = d.withColumn("hist", F.transform("common", lambda c, i: (F.size("at") - F.size(F.array_remove("at", i.cast("long") + 1))).cast("double")))
+    n = F.greatest(F.col("n_words"), F.lit(1))
+    shares = F.concat(F.transform("hist", lambda x: x / n), F.array((F.col("n_words") - F.size("at")) / n))
+    return d.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, js_distance(shares, F.col("ref_words")))).drop("at", "hist", "common", "ref_words")
+
+
+def _verdict(d: DataFrame, refs: DataFrame) -> DataFrame:
+    """With char_distance, base_failed and kept; refs are those of ``char_references``."""
+    d = d.join(refs, "lang", "left").withColumns({
+        "base_failed": (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")),
+        "char_distance": F.when(F.col("n") >= MIN_CHARS, js_distance(F.transform("chars", lambda x: x / F.col("n")), F.col("ref_chars"))),
+    })
     most = F.when(F.col("n_words") < FEW_WORDS, MAX_FEW_WORD_DISTANCE).otherwise(MAX_WORD_DISTANCE)
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > most)
     return d.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
+REPORT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
+
+
 def quality_report(docs: DataFrame) -> DataFrame:
-    """The digest of ``judge``: one row per document."""
-    return judge(docs).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    """One row per document: doc_id, the base counts, base_failed, kept and both distances.
+
+    What a text yields is written before it is judged, so the classes are
+    counted once, and filters on the report meet plain columns.
+    """
+    few = docs.select("doc_id", "text", "lang")
+    found = _word_judged(few, word_references(few)).select("row.doc_id", "lang", "n", "chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "word_distance")
+    found = materialize(found, "quality-counts")
+    return _verdict(found, char_references(found)).select("doc_id", *REPORT)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with exactly the columns they came with."""
+    few = docs.select("text", "lang")
+    classes = materialize(char_references(_classed(_text(few).select("lang", "text"))), "char-references")
+    d = _verdict(_word_judged(docs, word_references(few)), classes)
     # The row number ties the filter to its place: pushed down, it would repeat the
     # nested expressions behind "kept" once for each use, beyond any planner's patience.
-    return judge(docs).withColumn("at", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("at") >= 0)).select("row.*")
+    return d.withColumn("at", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("at") >= 0)).select("row.*")
