@@ -70,12 +70,19 @@ def _prefix(values: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
     return out, down
 
 
+class SpanHash:
+    """64-bit hashes of byte spans ``buf[start:end]`` of one buffer."""
+
+    def __init__(self, buf: np.ndarray, which: int = 0) -> None:
+        self.p, self.down = _prefix(_BYTE[buf], which)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.p[end] - self.p[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
 def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit hashes of the byte spans ``buf[start:end]``."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    p, down = _prefix(_BYTE[buf], which)
-    return mix((p[end] - p[start]) * down[start] + (end - start).astype(np.uint64))
+    return SpanHash(buf, which)(start, end) if len(start) else np.zeros(0, np.uint64)
 
 
 def hash_windows(values: np.ndarray, length: int, which: int = 1) -> np.ndarray:
@@ -139,3 +146,13 @@ def as_long(h: np.ndarray) -> np.ndarray:
 def owner(offsets: np.ndarray) -> np.ndarray:
     """For each element described by ``offsets``, the index of its document."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each different value, in ascending order of value, and for each value the number of its like."""
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    inverse = np.empty(len(h), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
