@@ -336,10 +336,33 @@ def brute_repeats(own):
     return out
 
 
-def test_repeats(odd, spark):
-    more = spark.createDataFrame([(200, "ab" * 300, "en", "a", 1), (201, "x" * 250, "en", "a", 1), (202, "y" * 99, "en", "a", 1)], odd.schema)
+@pytest.mark.parametrize("limits", [{}, {"BATCH": 300, "MANY": 2, "FLUSH_BYTES": 1000, "FLUSH": 50}])
+def test_repeats(odd, spark, limits, monkeypatch):
+    """With small limits parts go through several rounds, and grams are opened by two of many chunks."""
+    for k, v in limits.items():
+        monkeypatch.setattr(repeats, k, v)
+    r = random.Random(8)
+    line = "this line of sixty-six to ninety-nine bytes stands in many texts, always between others"
+    around = [(210 + i, "".join(r.choice("abc ") for _ in range(90)) + line + "".join(r.choice("abc ") for _ in range(90)), "en", "a", 1) for i in range(30)]
+    more = spark.createDataFrame([(200, "ab" * 300, "en", "a", 1), (201, "x" * 250, "en", "a", 1), (202, "y" * 99, "en", "a", 1), (203, "\0" * 120 + "é" * 70, "en", "a", 1), *around, (250, around[3][1][40:230] + around[9][1][40:230], "en", "a", 1)], odd.schema)
     df = odd.unionAll(more)
-    assert {i: tuple(r)[1:] for i, r in by_id(repeats.repeat_report(df)).items()} == brute_repeats(texts(df))
+    want = brute_repeats(texts(df))
+    assert {i: tuple(r)[1:] for i, r in by_id(repeats.repeat_report(df)).items()} == want
+    assert want[250][1] > 300 and want[215][1] == 0
+
+
+def test_transform_and_common_prefixes():
+    r = random.Random(4)
+    for n, letters in ((1, "a"), (5, "ab"), (40, "ab"), (12, "abcd"), (1, ""), (3, "a")):
+        strings = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) if letters else "" for _ in range(n)]
+        text = np.frombuffer(b"".join(x.encode() + b"\xff" for x in strings), np.uint8)
+        sa, bwt = repeats.transform(text)
+        suffix = lambda i: (lambda t: (*t[: t.index(255)], 255, i + t.index(255)))(text[i:].tolist())  # noqa: B023, E731
+        order = sorted(range(len(text)), key=suffix)
+        assert sa.tolist() == order and bwt.tolist() == [text[i - 1] for i in order]
+        common = [-1] + [next(k for k, (x, y) in enumerate(zip((*suffix(a), -1), (*suffix(b), -2), strict=False)) if x != y or x == 255) for a, b in zip(order, order[1:], strict=False)]
+        for stop in (1, 4, 100):
+            assert repeats.common_prefixes(bwt, stop).tolist() == [min(x, stop) for x in common]
 
 
 # 10 ------------------------------------------------------------------------
