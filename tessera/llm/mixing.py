@@ -7,8 +7,8 @@ histograms of size by (source, hash bucket): a cumulative sum finds the bucket
 in which the budget runs out, and only that boundary bucket is split again, on
 the next ``BITS`` bits, until a bucket is a single hash value.  That last value
 is taken when this brings the source nearer to its target.  Nothing is sorted:
-each level is one pre-aggregated pass over a narrow (source, hash, size) table,
-and the texts are read once.
+each level is one pass over a narrow (source, hash, size) table that aggregates
+only what lies in the boundary buckets, and the texts are read once.
 
 The thresholds are nested: a larger budget takes a superset.  Reruns agree,
 for the hash depends on the document id alone.
@@ -17,8 +17,9 @@ Targets: the sources, by code point and null last, weigh 1, 2, 3, repeating.
 They share ``budget`` (1.0: all words) in proportion, none above ``max_epochs``
 times its size; the excess goes to the others by weight.
 
-Cases: a null text has size 0; a null source is a source; rows that repeat a
-document id share its hash and are taken alike; ties of sources cannot occur;
+Cases: a null text has size 0; a very long text is one document, taken or not as
+a whole; a null source is a source; rows that repeat a document id, or have none,
+share its hash and are taken alike; ties of sources cannot occur;
 an empty table, or one without words, has targets of 0 and takes nothing;
 extra columns are carried, whatever their names.
 """
@@ -86,11 +87,11 @@ def thresholds(sized: DataFrame, budget: float = 1.0, max_epochs: int = 3) -> Da
 
     cut, keys = plan.select(F.col("source").alias("of"), "rest"), []
     for level in range(LEVELS):
-        rows = sized.select("source", "size", part(level).alias("b"), *[part(i).alias(f"b{i}") for i in range(level)])
-        rows = rows.groupBy("source", *keys, "b").agg(F.sum("size").alias("s")).where("s > 0")
-        on = reduce(lambda a, x: a & x, [F.col(k) == F.col(f"{k}_") for k in keys], F.col("source").eqNullSafe(F.col("of")))
-        found = _cut(rows.join(cut, on).drop("of", *[f"{k}_" for k in keys]), keys)
-        found = materialize(found.withColumnsRenamed({"b": f"b{level}"}), f"mix-cut{level}")
+        # Only the rows of the boundary bucket reach the aggregation; cuts have a row per source.
+        on = reduce(lambda a, x: a & x, [part(i) == F.col(f"b{i}_") for i in range(level)], F.col("source").eqNullSafe(F.col("of")))
+        rows = sized.join(cut, on).select("source", "size", "rest", part(level).alias("b"), *[F.col(f"{k}_").alias(k) for k in keys])
+        rows = rows.groupBy("source", *keys, "b").agg(F.sum("size").alias("s"), F.max("rest").alias("rest")).where("s > 0")
+        found = materialize(_cut(rows, keys).withColumnsRenamed({"b": f"b{level}"}), f"mix-cut{level}")
         keys = [*keys, f"b{level}"]
         cut = found.select(F.col("source").alias("of"), *[F.col(k).alias(f"{k}_") for k in keys], "s", "rest")
         if level < LEVELS - 1:
