@@ -53,11 +53,13 @@ from .shared import materialize
 
 LENGTH, GRAM = 100, 32
 NO_ID = -(2**63)
-FLUSH, FLUSH_BYTES = 2_000_000, 32 << 20
+FLUSH, FLUSH_BYTES = 1_000_000, 16 << 20
+#: Bytes of text that are hashed at once.
+HASH_BYTES = 2 << 20
 #: Bytes of text, and of parts, that a bucket is meant to hold the seeds or the bytes of.
 BUCKET_BYTES = 12 << 20
 #: Bytes of parts that are transformed at once; below 2**21, for a position has 21 bits.
-BATCH = 1 << 20
+BATCH = 1 << 19
 MANY = 64
 SEP = 0xFF
 
@@ -66,24 +68,6 @@ _SEED = np.dtype([("g", "<u8"), ("q", "<u8"), ("doc", "<i8"), ("sub", "<i4"), ("
 _SPAN = np.dtype([("doc", "<i8"), ("sub", "<i4"), ("lo", "<i4"), ("len", "<i4"), ("core", "<i4")])
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Column after column, which compresses better than row after row."""
-    return b"".join(np.ascontiguousarray(a[c]).tobytes() for c in a.dtype.names)
-
-
-def _unpack(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
-    out = np.empty(sum(map(len, blobs)) // kind.itemsize, kind)
-    at = 0
-    for b in blobs:
-        n, pos = len(b) // kind.itemsize, 0
-        for c in kind.names:
-            size = kind[c].itemsize * n
-            out[c][at : at + n] = np.frombuffer(b[pos : pos + size], kind[c])
-            pos += size
-        at += n
-    return out
-
-
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """Whether each row differs from the one before in any of the columns."""
     new = np.ones(len(columns[0]), bool)
@@ -183,7 +167,7 @@ def _send(a: np.ndarray, n: int, done: np.ndarray, texts: tuple[np.ndarray, np.n
     for b in np.flatnonzero((np.diff(cuts) > 0) | (np.diff(share) > 0)).tolist():
         own = a[cuts[b] : cuts[b + 1]]
         text = b"" if texts is None else _gather(texts[0], texts[1][order[cuts[b] : cuts[b + 1]]], own["len"]).tobytes()
-        rows.append((b, _pack(own), text, _pack(done[share[b] : share[b + 1]])))
+        rows.append((b, bk.pack_columns(own), text, bk.pack_columns(done[share[b] : share[b + 1]])))
         if len(rows) == 16:
             yield _sent(rows)
             rows = []
@@ -364,7 +348,7 @@ def _round(docs: DataFrame, opened: DataFrame, core: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in bk.slices(batch):
+            for part in bk.slices(batch, limit=HASH_BYTES):
                 buf, offs, doc, sub = _keys(part)
                 at = part.column("at")
                 of = np.repeat(np.arange(part.num_rows), np.diff(at.offsets.to_numpy()))
@@ -388,10 +372,10 @@ def _round(docs: DataFrame, opened: DataFrame, core: int) -> DataFrame:
         yield from _send(own[first], n, _spans(own[again], True), (text, start[first]))
 
     def compare(table: pa.Table) -> pa.Table:
-        parts = _unpack(table.column("data").to_pylist(), _SEED)
+        parts = bk.unpack_columns(table.column("data").to_pylist(), _SEED)
         text = np.frombuffer(b"".join(table.column("text").to_pylist()), np.uint8)
         done, later = _compare(parts, text)
-        return _found(done, later, _unpack(table.column("done").to_pylist(), _SPAN))
+        return _found(done, later, bk.unpack_columns(table.column("done").to_pylist(), _SPAN))
 
     at = opened.groupBy("doc", "sub").agg(F.collect_list(F.struct("lo", "len", "core")).alias("at"))
     parts = _keyed(docs).join(at, ["doc", "sub"]).mapInArrow(cut, SENT)
@@ -406,7 +390,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in bk.slices(batch):
+            for part in bk.slices(batch, limit=HASH_BYTES):
                 held.append(seeds(*_keys(part)))
                 size += len(held[-1])
                 if size > FLUSH:
@@ -426,11 +410,11 @@ def repeats(docs: DataFrame) -> DataFrame:
         yield from _send(first[~many], n, np.concatenate([again, _spans(first[many], False)]))
 
     def meet(table: pa.Table) -> pa.Table:
-        a = _unpack(table.column("data").to_pylist(), _SEED)
+        a = bk.unpack_columns(table.column("data").to_pylist(), _SEED)
         first, again = _settle(a)
         # A gram whose chunks differ is looked at more closely.
         first = a[first]
-        return _found(_spans(a[again], True), _unpack(table.column("done").to_pylist(), _SPAN), _spans(first[_sizes(first["g"]) > 1], False))
+        return _found(_spans(a[again], True), bk.unpack_columns(table.column("done").to_pylist(), _SPAN), _spans(first[_sizes(first["g"]) > 1], False))
 
     found = materialize(_keyed(docs).mapInArrow(seek, SENT).groupBy("bucket").applyInArrow(lambda t: meet(t), FOUND), "repeat-chunks")
     out, core = found.where("core < 0"), GRAM
