@@ -67,5 +67,6 @@ ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
     "op4_line_dedup": lines.SQL,
     "op5_decontaminate": decontaminate.SQL,
+    "op6_main_text": html.SQL,
     "op8_jaccard_join": jaccard.SQL,
 }
