@@ -4,30 +4,38 @@ Words are split at ASCII white space, A-Z lower-cased; every text ends with one
 end token.  A word's probability is that of its class after the last class,
 times that of the word within its class.
 
-* Items are what exchange clustering puts into classes: every word making up at
-  least 1 / ``ITEM_SHARE`` of the training tokens (so at most that many words),
-  and ``TAILS`` groups of all other words by their last three bytes.
-* Clustering sweeps over the whole training corpus: a pass counts, for every
-  item, the classes before and after it; then items move to the class under
-  which these counts are likeliest, half of the items a sweep, so that moves
-  made at once do not chase each other.
-* Within a class an item has its relative frequency; within a tail group a word
-  has (c + 1) / (n + V + 1), the last 1 for the unknown; transitions are
-  smoothed by ``ALPHA``.
-
-What is broadcast is bounded by construction: items, their classes, and the
-counts of words making up at least 1 / ``KNOWN_SHARE`` of the tokens.  All rarer
-words are exact too: their (document, word) pairs are joined with the table of
-all counts.  Words are told apart by 64-bit hashes.
-
-Cases: a null or empty text is its end token alone; a null id hashes as the
-empty text, which puts it into training; rows that repeat are scored alike and
-count as often as they occur; without training documents all counts are 0; an
-empty table gives an empty result; extra columns are ignored, whatever their names.
+* Every word seen ``MIN_COUNT`` times in training has a class of its own choice.
+  Words seen less often, and unseen ones, share that of their group, one of
+  ``TAILS`` by a hash of their last three bytes.
+* The number of classes grows with the root of the number of such words.
+* Clustering by exchange sweeps over the whole training corpus: a pass counts,
+  for every item, the classes before and after it; then items move to the class
+  under which these counts are likeliest, half of the items a sweep, so that
+  moves made at once do not chase each other, until hardly any token moves.
+  Items are the frequent words, which fit a dense table of ``HEAD_CELLS`` counts,
+  and the groups, standing for all others.
+* One more exchange gives all other words their classes: each occurrence sends
+  the classes around it to its word, wherever that is kept, and words choose.
+* Within a class a word has its relative frequency; within a group a word has
+  (c + 1) / (n + V + 1), the last 1 for the unknown; transitions are smoothed by
+  ``ALPHA``.
+
+What is broadcast is bounded by construction: items, their classes, transitions,
+and the counts of words making up at least 1 / ``KNOWN_SHARE`` of the tokens.  All
+other words and their classes are a distributed table, joined with the (document,
+word) pairs that ask for them.  Words are told apart by 64-bit hashes.
+
+Cases: a null or empty text is its end token alone; a very long text takes memory
+in proportion to its length; a null id hashes as the empty text, which puts it
+into training; rows that repeat are scored alike and count as often as they
+occur; of classes that suit a word alike it takes the first; without training
+documents all counts are 0; an empty table gives an empty result; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,18 +46,30 @@ from pyspark.sql import functions as F
 from . import bytekit as bk
 from .shared import materialize
 
-ITEM_SHARE, KNOWN_SHARE = 10_000, 1_000_000
-TAILS, CLASSES, SWEEPS, ALPHA = 512, 64, 6, 0.5
+MIN_COUNT = 5
+#: At most so many words are items, fewer where classes are many; a share, so that ties are treated alike.
+ITEM_SHARE, HEAD_CELLS, KNOWN_SHARE = 60_000, 1 << 22, 1_000_000
+TAILS, SWEEPS, ALPHA = 512, 10, 0.5
+#: Sweeps end when two in a row move less than this share of the tokens.
+STILL = 0.005
+LEAST_CLASSES, MOST_CLASSES = 16, 1024
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0xE0D)
-ITEM_BLOCK = 1024
+BLOCK_BYTES = 1 << 20
 SEQUENCE_BYTES = 1 << 20
+#: Occurrences that a task merges before they travel, and bytes of them that a bucket is meant to hold.
+FLUSH, BUCKET_BYTES = 1_000_000, 32 << 20
 
 
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
+def number_of_classes(words: int) -> int:
+    """A power of two near a quarter of the root of the number of words; the table of transitions stays within 8 MB."""
+    return min(MOST_CLASSES, max(LEAST_CLASSES, 2 ** int(math.log2(max(1.0, math.sqrt(words) / 4)))))
+
+
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and tail groups of all tokens, an end after each text; and where texts begin."""
     buf, offs = bk.flat(column)
@@ -90,82 +110,87 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """What is known of frequent words, and sums over the others; bounded whatever the corpus.
+    """What is known of frequent words, and sums over the rarest; bounded whatever the corpus.
 
     Items are numbered: 0 the end, then ``words``, then the tail groups.
     """
 
     def __init__(self, counts: DataFrame) -> None:
-        n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-        self.n, self.v = int(n), int(v)
-        known = counts.where(F.col("c") * KNOWN_SHARE >= self.n).select("h", "c").toArrow()
+        often = F.col("c") >= MIN_COUNT
+        n, v, many = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(often, 1))).first()
+        self.n, self.v, self.classes = int(n), int(v), number_of_classes(many)
+        share = min(ITEM_SHARE, HEAD_CELLS // self.classes)
+        known = counts.where((F.col("c") * KNOWN_SHARE >= self.n) | (F.col("h") == int(END))).select("h", "c").toArrow()
         h, c = known.column("h").to_numpy().view(np.uint64), known.column("c").to_numpy()
         order = np.argsort(h)
         self.h, self.c = h[order], c[order]
-        frequent = np.flatnonzero((self.c * ITEM_SHARE >= self.n) & (self.h != END))
+        frequent = np.flatnonzero((self.c * share >= self.n) & (self.c >= MIN_COUNT) & (self.h != END))
         self.words = len(frequent)
         self.item = np.full(len(h), -1, np.int32)
         self.item[frequent] = 1 + np.arange(self.words)
         self.item[self.h == END] = 0
-        # Tail groups hold every word that is no item.
-        rest = counts.where((F.col("c") * ITEM_SHARE < self.n) & (F.col("h") != int(END))).groupBy("tail").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
-        self.tail_n, self.tail_v = np.zeros(TAILS), np.zeros(TAILS)
-        at = rest.column("tail").to_numpy()
-        self.tail_n[at], self.tail_v[at] = rest.column("n").to_numpy(), rest.column("v").to_numpy()
         self.items = 1 + self.words + TAILS
-        self.weight = np.zeros(self.items)
+        #: For each item its count; for a group that of the words seen too rarely for a class, and their number; occurrences: of all its words.
+        self.weight, self.tail_v = np.zeros(self.items), np.zeros(TAILS)
         self.weight[0] = self.c[self.h == END].sum()
         self.weight[1 : 1 + self.words] = self.c[frequent]
-        self.weight[1 + self.words :] = self.tail_n
-        self.weight += self.weight == 0
+        self.occurrences = np.zeros(self.items)
+        self.occurrences[: 1 + self.words] = self.weight[: 1 + self.words]
+        other = counts.where(((F.col("c") * share < self.n) | ~often) & (F.col("h") != int(END)))
+        rest = other.groupBy("tail").agg(F.sum("c").alias("all"), F.coalesce(F.sum(F.when(~often, F.col("c"))), F.lit(0)).alias("n"), F.count(F.when(~often, 1)).alias("v")).toArrow()
+        at = rest.column("tail").to_numpy()
+        self.occurrences[1 + self.words + at] = rest.column("all").to_numpy()
+        self.weight[1 + self.words + at], self.tail_v[at] = rest.column("n").to_numpy(), rest.column("v").to_numpy()
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count (-1: not among the known) and item (-1: by tail) of words."""
+        """Place among the known (-1: not there) and item (-1: by tail) of words."""
         if not len(self.h):
             return np.full(len(h), -1), np.full(len(h), -1, np.int32)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
         hit = self.h[at] == h
-        return np.where(hit, self.c[at], -1), np.where(hit, self.item[at], -1)
+        return np.where(hit, at, -1), np.where(hit, self.item[at], -1)
 
 
-ENCODED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, inside double, seq binary, rare array<long>, times array<int>"
+ENCODED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, seq binary, more binary, rare array<long>"
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """A row per document: its items, sums over known words, and the words to look up.
+    """A row per document: its items, what else its tokens are, sums over known words, and the words to look up.
 
-    logs: sum of log10(c + 1) over known words; inside: log10 probability of
-    tail words within their groups, but for the log10(c + 1) of unknown ones.
+    logs: sum of log10(c + 1) over known words; more: for each token that is a
+    group's item, in order, its place among the known, or -1 less its place in rare.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
-        group = np.log10(vocab.tail_n + vocab.tail_v + 1)
+        counts = np.append(vocab.c, 0)
         for batch in batches:
             for part in bk.slices(batch):
                 h, tail, first = _tokens(part.column("text"))
-                u, inverse = np.unique(h, return_inverse=True)
-                c, item = (x[inverse] for x in vocab.find(u))
+                at, inverse = bk.distinct(h)
+                place, item = (x[inverse] for x in vocab.find(h[at]))
+                c = counts[place]
                 item = np.where((h == END) & (tail < 0), 0, item)
                 by_tail = item < 0
                 item = np.where(by_tail, 1 + vocab.words + tail, item).astype(np.uint16)
-                known = c >= 0
-                logs = np.where(known, np.log10(np.maximum(c, 0) + 1.0), 0.0)
-                inside = np.where(by_tail, logs - group[np.maximum(tail, 0)], 0.0)
-                total = lambda x: np.add.reduceat(x, first[:-1])  # noqa: B023, E731
                 doc = bk.owner(first)
-                rare = np.flatnonzero(~known)
-                order = np.lexsort((h[rare], doc[rare]))
-                d, w = doc[rare][order], h[rare][order]
-                new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (w[1:] != w[:-1])]) if len(d) else np.zeros(0, np.int64)
-                times = np.diff(np.r_[new, len(d)]).astype(np.int32)
-                offsets = pa.array(np.searchsorted(d[new], np.arange(len(first))).astype(np.int32))
+                unknown = np.flatnonzero(place < 0)
+                order = np.lexsort((h[unknown], doc[unknown]))
+                d, w = doc[unknown][order], h[unknown][order]
+                new = np.ones(len(d), bool)
+                new[1:] = (d[1:] != d[:-1]) | (w[1:] != w[:-1])
+                begin = np.searchsorted(d[new], np.arange(len(first)))
+                more = place.astype(np.int32)
+                more[unknown[order]] = -1 - (np.cumsum(new) - 1 - begin[d])
+                cut = np.concatenate([[0], np.cumsum(by_tail)])[first]
+                more = more[by_tail]
+                total = lambda x: np.add.reduceat(x, first[:-1])  # noqa: B023, E731
+                pieces = lambda x, cuts: pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("rid"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(first)), pa.array(total((c > 0).astype(np.int64))), pa.array(total(logs)), pa.array(total(inside)),
-                        pa.array([item[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary()),
-                        pa.ListArray.from_arrays(offsets, pa.array(bk.as_long(w[new]))), pa.ListArray.from_arrays(offsets, pa.array(times)),
+                        part.column("rid"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(first)), pa.array(total((c > 0).astype(np.int64))), pa.array(total(np.log10(c + 1.0))),
+                        pieces(item, first), pieces(more, cut), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(bk.as_long(w[new]))),
                     ],
                     [x.split()[0] for x in ENCODED.split(", ")],
                 )
@@ -175,7 +200,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Items of a batch of documents, the item before each (the end, at first), and where documents begin."""
+    """Items (or classes) of a batch of documents, the one before each (the end, at first), and where documents begin."""
     buf, offs = bk.flat(batch.column("seq"))
     item, first = buf.view(np.uint16).astype(np.int64), offs // 2
     before = np.empty_like(item)
@@ -184,21 +209,9 @@ def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return item, before, first
 
 
-def neighbours(encoded: DataFrame, classes: np.ndarray, items: int) -> np.ndarray:
-    """Counts [item, 0: class before, 1: class after] over all training documents."""
-    k = int(CLASSES)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((items, 2, k), np.int64)
-        for batch in batches:
-            for part in bk.slices(batch, "seq", SEQUENCE_BYTES):
-                item, before, _ = _sequences(part)
-                both[:, 0] += np.bincount(item * k + classes[before], minlength=items * k).reshape(items, k)
-                both[:, 1] += np.bincount(before * k + classes[item], minlength=items * k).reshape(items, k)
-        for lo in range(0, items, ITEM_BLOCK):
-            part = both[lo : lo + ITEM_BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([lo // ITEM_BLOCK], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
+def _totals(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of (block, counts) rows, an array of whole numbers; many tasks' rows are added up in two steps."""
+    kind = "block int, counts binary"
 
     def total(table: pa.Table) -> pa.Table:
         out = None
@@ -207,69 +220,281 @@ def neighbours(encoded: DataFrame, classes: np.ndarray, items: int) -> np.ndarra
             out = a if out is None else out + a
         return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([out.tobytes()], pa.binary())})
 
-    found = encoded.where(~F.col("held_out")).select("seq").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(lambda t: total(t), "block int, counts binary").toArrow()
-    both = np.zeros((items, 2, k), np.int64)
+    # A task sends few rows; more than some dozens of a block never meet at once.
+    tasks = parts.rdd.getNumPartitions()
+    if tasks > 64:
+        salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(tasks))))
+        parts = salted.groupBy("block", "salt").applyInArrow(lambda t: total(t), kind)
+    out, size = np.zeros(math.prod(shape), np.int64), BLOCK_BYTES // 8
+    found = parts.groupBy("block").applyInArrow(lambda t: total(t), kind).toArrow()
     for b, x in zip(found.column("block").to_pylist(), found.column("counts").to_pylist(), strict=True):
-        part = np.frombuffer(x, np.int64).reshape(-1, 2, k)
-        both[b * ITEM_BLOCK : b * ITEM_BLOCK + len(part)] = part
-    return both
+        part = np.frombuffer(x, np.int64)
+        out[b * size : b * size + len(part)] = part
+    return out.reshape(shape)
+
+
+def _blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    flat, size = counts.ravel(), BLOCK_BYTES // 8
+    for b, lo in enumerate(range(0, len(flat), size)):
+        if flat[lo : lo + size].any():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([flat[lo : lo + size].tobytes()], pa.binary())], ["block", "counts"])
+
+
+def neighbours(encoded: DataFrame, classes: np.ndarray, items: int, k: int) -> np.ndarray:
+    """Counts [item, 0: class before, 1: class after] over all training documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros(items * 2 * k, np.int64)
+        held, size = [], 0
+        for batch in batches:
+            for part in bk.slices(batch, "seq", SEQUENCE_BYTES):
+                item, before, _ = _sequences(part)
+                held += [item * (2 * k) + classes[before], before * (2 * k) + k + classes[item]]
+                size += 2 * len(item)
+                if size > items * k // 2:
+                    both += np.bincount(np.concatenate(held), minlength=len(both))
+                    held, size = [], 0
+        if held:
+            both += np.bincount(np.concatenate(held), minlength=len(both))
+        yield from _blocks(both)
+
+    return _totals(encoded.where(~F.col("held_out")).select("seq").mapInArrow(count, "block int, counts binary"), (items, 2, k))
 
 
 def _transitions(both: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    out = np.zeros((CLASSES, CLASSES))
+    k = both.shape[2]
+    out = np.zeros((k, k))
     np.add.at(out, classes, both[:, 1])
     return out
 
 
+def affinity(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihoods of a class by the class before it [before, class] and by the one after it [after, class].
+
+    P(neighbours | class): after it by row, before it by column, less the class's own size.  Class 0 is the end's.
+    """
+    t = t + ALPHA
+    step = np.log(t / t.sum(1, keepdims=True))
+    before, after = step - np.log(t.sum(0))[None, :], step.T.copy()
+    before[:, 0] = after[:, 0] = -1e9
+    return before, after
+
+
 def exchange(both: np.ndarray, classes: np.ndarray, sweep: int) -> np.ndarray:
     """Move every other item to its likeliest class; the end keeps class 0 to itself."""
-    t = _transitions(both, classes) + ALPHA
-    out_, in_ = np.log(t / t.sum(1, keepdims=True)), np.log(t / t.sum(1)[:, None])
-    # P(item's neighbours | class): after it by row, before it by column, less the class's own size.
-    size = np.log(t.sum(0))
-    fit = both[:, 1] @ out_.T + both[:, 0] @ (in_ - size[None, :])
-    fit[:, 0] = -np.inf
-    best = fit.argmax(1)
+    before, after = affinity(_transitions(both, classes))
+    best = (both[:, 0] @ before + both[:, 1] @ after).argmax(1)
     turn = (np.arange(len(classes)) * 7 + sweep) % 2 == 0
-    new = np.where(turn, best, classes)
+    # Without neighbours, as without training documents, an item stays.
+    new = np.where(turn & both.any((1, 2)), best, classes)
     new[0] = 0
     return new
 
 
 def cluster(encoded: DataFrame, vocabulary: Vocabulary, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each item, and the class transition counts of the training corpus."""
-    order = np.argsort(np.argsort(-vocabulary.weight, kind="stable"))
-    classes = 1 + order % (CLASSES - 1)
+    """Class of each item, and the class transition counts of the training corpus under them."""
+    k = vocabulary.classes
+    weight = vocabulary.occurrences
+    order = np.argsort(np.argsort(-weight, kind="stable"))
+    classes, moved = 1 + order % (k - 1), 1.0
     classes[0] = 0
     for sweep in range(sweeps):
-        classes = exchange(neighbours(encoded, classes, vocabulary.items), classes, sweep)
-    return classes, _transitions(neighbours(encoded, classes, vocabulary.items), classes)
+        both = neighbours(encoded, classes, vocabulary.items, k)
+        new = exchange(both, classes, sweep)
+        last, moved = moved, weight[new != classes].sum() / max(1, weight.sum())
+        classes = new
+        if max(last, moved) < STILL:
+            break
+    return classes, _transitions(neighbours(encoded, classes, vocabulary.items, k), classes)
+
+
+LEXICON = "h long, cls int, c long"
+
+
+def lexicon(encoded: DataFrame, vocabulary: Vocabulary, classes: np.ndarray, t: np.ndarray) -> DataFrame:
+    """(h, cls, c) of all training words that are no items: the class they choose (-1: seen too rarely) and their count."""
+    k, kind = vocabulary.classes, np.dtype([("h", "<u8"), ("b", "<u1"), ("a", "<u1"), ("n", "<u4")] if vocabulary.classes <= 256 else [("h", "<u8"), ("b", "<u2"), ("a", "<u2"), ("n", "<u4")])
+    spark = encoded.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocabulary.n * kind.itemsize // BUCKET_BYTES))
+    shared = spark.sparkContext.broadcast((vocabulary.h, classes, *affinity(t)))
+    group = 1 + vocabulary.words
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, classes, _, _ = shared.value
+        held, size = [], 0
+        for batch in batches:
+            for part in bk.slices(batch, "seq", SEQUENCE_BYTES):
+                item, before, first = _sequences(part)
+                after = np.append(item[1:], 0)
+                at, word = _words(part, item >= group, first, known)
+                held.append((word, classes[before[at]], classes[after[at]]))
+                size += len(at)
+                if size > FLUSH:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        h, b, a = (np.concatenate(x) for x in zip(*held, strict=True))
+        at, inverse = bk.distinct(h)
+        key, n = np.unique((inverse * k + b) * k + a, return_counts=True)
+        out = np.empty(len(key), kind)
+        out["h"], out["b"], out["a"], out["n"] = h[at][key // (k * k)], key // k % k, key % k, n
+        bucket = (out["h"] >> np.uint64(20)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        out, cuts = out[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(cuts)).tolist()
+        for lo in range(0, len(some), 16):
+            data = [bk.pack_columns(out[cuts[i] : cuts[i + 1]]) for i in some[lo : lo + 16]]
+            yield pa.RecordBatch.from_arrays([pa.array(some[lo : lo + 16], pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+
+    def choose(table: pa.Table) -> pa.Table:
+        _, _, before, after = shared.value
+        a = bk.unpack_columns(table.column("data").to_pylist(), kind)
+        a = a[np.argsort(a["h"], kind="stable")]
+        new = np.ones(len(a), bool)
+        new[1:] = a["h"][1:] != a["h"][:-1]
+        begin = np.flatnonzero(new)
+        c = np.add.reduceat(a["n"].astype(np.int64), begin)
+        best, step = np.empty(len(begin), np.int32), max(1, BLOCK_BYTES // (8 * k))
+        edge = np.append(begin, len(a))
+        for lo in range(0, len(begin), step):
+            hi = min(lo + step, len(begin))
+            rows = slice(edge[lo], edge[hi])
+            word = np.repeat(np.arange(hi - lo), np.diff(edge[lo : hi + 1])) * k
+            fit = np.bincount(word + a["b"][rows], a["n"][rows], (hi - lo) * k).reshape(-1, k) @ before
+            fit += np.bincount(word + a["a"][rows], a["n"][rows], (hi - lo) * k).reshape(-1, k) @ after
+            best[lo:hi] = fit.argmax(1)
+        best[c < MIN_COUNT] = -1
+        return pa.table({"h": pa.array(bk.as_long(np.ascontiguousarray(a["h"][begin]))), "cls": pa.array(best), "c": pa.array(c)})
+
+    sent = encoded.where(~F.col("held_out")).select("seq", "more", "rare").mapInArrow(send, "bucket int, data binary")
+    return sent.groupBy("bucket").applyInArrow(lambda t: choose(t), LEXICON)
+
+
+def _words(part: pa.RecordBatch, grouped: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the tokens that are a group's item."""
+    at = np.flatnonzero(grouped)
+    more = bk.flat(part.column("more"))[0].view(np.int32)
+    rare = part.column("rare")
+    base = rare.offsets.to_numpy()[:-1] - rare.offsets[0].as_py()
+    doc = np.searchsorted(first, at, "right") - 1
+    values = rare.flatten().to_numpy().view(np.uint64)
+    out = np.empty(len(at), np.uint64)
+    seen = more >= 0
+    out[seen] = known[more[seen]]
+    out[~seen] = values[base[doc[~seen]] - 1 - more[~seen]]
+    return at, out
+
+
+CLASSED = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, emitted double, seq binary"
+
+
+def classed(encoded: DataFrame, vocabulary: Vocabulary, classes: np.ndarray, words: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Class sequences of all documents, complete sums over counts, and log10 of the words within their classes; and the sizes of the classes."""
+    k, n = vocabulary.classes, vocabulary.n
+    known = words.where((F.col("c") * KNOWN_SHARE >= n)).toArrow()
+    own_class = np.full(len(vocabulary.h) + 1, -1, np.int32)
+    if known.num_rows:
+        own_class[np.searchsorted(vocabulary.h, known.column("h").to_numpy().view(np.uint64))] = known.column("cls").to_numpy()
+    chosen = words.where("cls >= 0").groupBy("cls").agg(F.sum("c").alias("n")).toArrow()
+    weight = np.maximum(vocabulary.weight, 1.0)
+    size = np.bincount(classes, weight, k)
+    size[chosen.column("cls").to_numpy()] += chosen.column("n").to_numpy()
+    group = 1 + vocabulary.words
+    inside = np.log10(weight[group:]) - np.log10(vocabulary.weight[group:] + vocabulary.tail_v + 1)
+    shared = encoded.sparkSession.sparkContext.broadcast((own_class, np.append(vocabulary.c, 0), classes, weight, np.log10(np.maximum(size, 1e-300)), inside))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_class, counts, classes, weight, size, inside = shared.value
+        for batch in batches:
+            for part in bk.slices(batch, "seq", SEQUENCE_BYTES):
+                item, _, first = _sequences(part)
+                cls, c = classes[item], weight[item]
+                at = np.flatnonzero(item >= group)
+                more = bk.flat(part.column("more"))[0].view(np.int32)
+                doc = bk.owner(first)
+                length = part.column("n_rare").to_numpy()
+                base = np.cumsum(length) - length
+                found = part.column("found")
+                rare_class, rare_count = np.full(int(length.sum()), -1, np.int32), np.zeros(int(length.sum()), np.int64)
+                hits = found.flatten()
+                row = np.repeat(np.arange(part.num_rows), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                where = base[row] + hits.field("j").to_numpy()
+                rare_class[where], rare_count[where] = hits.field("cls").to_numpy(), hits.field("c").to_numpy()
+                seen = more >= 0
+                to = base[doc[at[~seen]]] - 1 - more[~seen]
+                own, count = own_class[np.maximum(more, -1)], counts[np.maximum(more, -1)]
+                own[~seen], count[~seen] = rare_class[to], rare_count[to]
+                some = own >= 0
+                cls[at[some]] = own[some]
+                logs = np.log10(c)
+                logs[at] = np.where(some, np.log10(np.maximum(count, 1)), np.log10(count + 1.0) + inside[item[at] - group])
+                total = lambda x: np.add.reduceat(x, first[:-1])  # noqa: B023, E731
+                extra, hit = np.zeros(len(item)), np.zeros(len(item), np.int64)
+                extra[at[~seen]], hit[at[~seen]] = np.log10(count[~seen] + 1.0), count[~seen] > 0
+                seq = cls.astype(np.uint16)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"), part.column("held_out"), part.column("n_tokens"), pa.array(part.column("n_known").to_numpy() + total(hit)), pa.array(part.column("logs").to_numpy() + total(extra)), pa.array(total(logs - size[cls])),
+                        pa.array([seq[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary()),
+                    ],
+                    [x.split()[0] for x in CLASSED.split(", ")],
+                )
+
+    asked = encoded.select("rid", F.posexplode("rare").alias("j", "h"))
+    found = asked.join(words.where(F.col("c") * KNOWN_SHARE < n), "h").groupBy("rid").agg(F.collect_list(F.struct("j", "cls", "c")).alias("found"))
+    rows = encoded.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "seq", "more", F.size("rare").alias("n_rare")).join(found, "rid", "left").drop("rid")
+    return rows.mapInArrow(run, CLASSED), size
+
+
+def steps(sequences: DataFrame, k: int) -> np.ndarray:
+    """Class transition counts over all training documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for part in bk.slices(batch, "seq", SEQUENCE_BYTES):
+                cls, before, _ = _sequences(part)
+                out += np.bincount(before * k + cls, minlength=k * k)
+        yield from _blocks(out)
+
+    return _totals(sequences.where(~F.col("held_out")).select("seq").mapInArrow(count, "block int, counts binary"), (k, k))
+
+
+class Model:
+    """A trained model: ``vocabulary``, ``classes`` of its items, ``words`` with theirs, ``size`` of the classes, and their ``transition`` as log10."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        counts = materialize(word_counts(docs.where(~held_out(F.col("doc_id")))), "word-counts")
+        self.vocabulary = Vocabulary(counts)
+        encoded = materialize(encode(docs, self.vocabulary), "encoded")
+        self.classes, t = cluster(encoded, self.vocabulary)
+        self.words = materialize(lexicon(encoded, self.vocabulary, self.classes, t), "lexicon")
+        rows, self.size = classed(encoded, self.vocabulary, self.classes, self.words)
+        self.sequences = materialize(rows, "classed")
+        t = steps(self.sequences, self.vocabulary.classes) + ALPHA
+        self.transition = np.log10(t / t.sum(1, keepdims=True))
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; and perplexity by token."""
-    counts = materialize(word_counts(docs.where(~held_out(F.col("doc_id")))), "word-counts")
-    vocab = Vocabulary(counts)
-    encoded = materialize(encode(docs, vocab), "encoded")
-    classes, t = cluster(encoded, vocab)
-    transition = np.log10((t + ALPHA) / (t + ALPHA).sum(1, keepdims=True))
-    emission = np.log10(vocab.weight / np.bincount(classes, vocab.weight, CLASSES)[classes])
+    model = Model(docs)
+    vocab = model.vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(model.transition)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transition = shared.value
         for batch in batches:
             for part in bk.slices(batch, "seq", SEQUENCE_BYTES):
-                item, before, first = _sequences(part)
-                x = np.add.reduceat(transition[classes[before], classes[item]] + emission[item], first[:-1])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "inside")), pa.array(x)], ["rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "inside", "path"])
-
-    kept = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, inside double, path double"
-    paths = encoded.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "inside", "seq").mapInArrow(score, kept)
-    asked = encoded.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    found = asked.join(counts.where(F.col("c") * KNOWN_SHARE < vocab.n).select("h", "c"), "h")
-    found = found.groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("hits"))
-    more = F.coalesce("more", F.lit(0.0))
-    return paths.join(found, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("hits", F.lit(0))).alias("n_known"), F.lit(vocab.n).cast("long").alias("train_tokens"),
-        (F.col("logs") + more - F.col("n_tokens") * float(np.log10(vocab.n + vocab.v + 1))).alias("base_score"),
-        (F.col("path") + F.col("inside") + more).alias("score"),
+                cls, before, first = _sequences(part)
+                x = np.add.reduceat(transition[before, cls], first[:-1]) + part.column("emitted").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "logs")), pa.array(x)], ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
+
+    scored = model.sequences.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(vocab.n).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * float(np.log10(vocab.n + vocab.v + 1))).alias("base_score"),
+        "score",
     ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

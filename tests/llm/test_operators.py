@@ -122,6 +122,76 @@ def test_lm_is_a_distribution_and_rare_words_are_exact(odd, monkeypatch):
     assert all(few[i].base_score == pytest.approx(whole[i].base_score) and few[i].n_known == whole[i].n_known for i in whole)
 
 
+@pytest.mark.parametrize("limits", [{}, {"KNOWN_SHARE": 300, "ITEM_SHARE": 40, "FLUSH": 100, "SEQUENCE_BYTES": 400}])
+def test_lm_score_is_that_of_the_model(odd, limits, monkeypatch):
+    """Every score from the model's tables, word by word; and its probabilities sum to 1."""
+    from tessera.llm import bytekit as bk
+
+    for k, v in limits.items():
+        monkeypatch.setattr(lm, k, v)
+    got, m = by_id(lm.lm_scores(odd)), lm.Model(odd)
+    own = {i: t.encode().lower().split() for i, t in texts(odd).items()}
+    count = Counter(w for i, ws in own.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+
+    def digest(w):
+        a = np.frombuffer(w, np.uint8)
+        ends = np.array([0]), np.array([len(a)])
+        return bk.hash_spans(a, *ends)[0], int(bk.hash_spans(a, np.maximum(ends[0], ends[1] - 3), ends[1], 1)[0] % np.uint64(lm.TAILS))
+
+    v, chosen = m.vocabulary, {np.uint64(r.h & (2**64 - 1)): r.cls for r in m.words.collect()}
+    items = dict(zip(v.h.tolist(), v.item.tolist(), strict=True))
+    mass = np.zeros(v.classes)
+    seen = np.zeros(v.classes)
+    group_n, group_v = Counter(), Counter()
+    for w, c in count.items():
+        if c < lm.MIN_COUNT:
+            group_n[digest(w)[1]] += c
+            group_v[digest(w)[1]] += 1
+    ends = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in own)
+    size = np.zeros(v.classes)
+
+    def unit(w):
+        """Class, mass and share of a word."""
+        if w is None:
+            return 0, ends, 1.0
+        h, g = digest(w)
+        if count[w] >= lm.MIN_COUNT:
+            item = items.get(int(h), -1)
+            return (m.classes[item] if item > 0 else chosen[h]), count[w], 1.0
+        return m.classes[1 + v.words + g], max(1, group_n[g]), (count[w] + 1) / (group_n[g] + group_v[g] + 1)
+
+    for c in [None, *(w for w in count if count[w] >= lm.MIN_COUNT)]:
+        cls, n, _ = unit(c)
+        size[cls] += n
+    for g in range(lm.TAILS):
+        size[m.classes[1 + v.words + g]] += max(1, group_n[g])
+    t = np.full((v.classes, v.classes), lm.ALPHA)
+    path = {i: [unit(w)[0] for w in [*ws, None]] for i, ws in own.items()}
+    for i, p in path.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            np.add.at(t, ([0, *p[:-1]], p), 1)
+    assert np.allclose(size, m.size)
+    logs = np.log10(t / t.sum(1, keepdims=True))
+    for i, ws in own.items():
+        want, last = 0.0, 0
+        for w in [*ws, None]:
+            cls, n, share = unit(w)
+            want += logs[last, cls] + math.log10(n / size[cls] * share)
+            last = cls
+        assert got[i].score == pytest.approx(want), i
+    # One class: its words, and in each of its groups the rare words and the unknown one.
+    for w in [None, *(w for w in count if count[w] >= lm.MIN_COUNT)]:
+        seen[unit(w)[0]] += unit(w)[1] / size[unit(w)[0]]
+    for g in range(lm.TAILS):
+        seen[m.classes[1 + v.words + g]] += max(1, group_n[g]) / size[m.classes[1 + v.words + g]]
+    assert np.allclose(seen[size > 0], 1)
+
+
+def test_lm_beats_word_counts_on_unseen_documents(spark, data):
+    r = lm.lm_scores(spark.read.parquet(f"{data}/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > r[1]
+
+
 # 4 -------------------------------------------------------------------------
 
 
@@ -206,6 +276,59 @@ def test_html_cases(spark, model):
     assert html.main_text(df.limit(0), model).count() == 0
 
 
+PROSE = "The council met on Tuesday to discuss the new bridge, which is expected to open next year. "
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>x</title><body><article><p>{0}</p></article>", "{0}"),
+        ("<html><head><meta charset=x><style>p{{}}</style><p>{0}<p>{1}", "{0} {1}"),
+        ('<body><div class="overflow-hidden"><article aria-hidden="false"><p>{0}</p><p hidden>no</p><p style="color:red; display : none">no</p><div aria-hidden=true><p>{1}</p></div></article></div>', "{0}"),
+        ('<body><nav><a href=1>Home</a></nav><article><h1>Bridge opens</h1><p>{0}</p><p>{1}</p></article><section class="opinions"><h3>4 opinions</h3><div><b>Ann</b><p>I do not think this is right at all, it costs far too much.</p></div><div><b>Bo</b><p>Finally some progress in this town, well done.</p></div></section></body>', "Bridge opens {0} {1}"),
+    ],
+)
+def test_html_markup(model, page, want):
+    own = PROSE.strip(), (PROSE * 3).strip()
+    assert html.extract([page.format(*own)], model) == [want.format(*own)]
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a<a", "<! ", '<a "', "<a b='\"", "<div>", "</p><div>", "<script ", "<li><x>", "<b>x", "&amp"])
+def test_html_takes_linear_time(model, unit):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        t = time.process_time()
+        html.Page(unit * n)
+        took.append(time.process_time() - t)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def true_text(page):
+    """Of the given pages the article is the main text."""
+    import html as entities
+
+    inner = re.sub(r"</?(b|em|a|span|i)( [^>]*)?>", "", re.search(r"<article>(.*)</article>", page, re.S)[1])
+    return " ".join(x for y in re.split("<[^>]*>", inner) for x in entities.unescape(y).split())
+
+
+def test_html_on_the_pages(spark, data, model):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    want = {r.page_id: true_text(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in html.main_text(pages, model).collect()} == want and len(want) > 10
+
+
+def test_html_hard_rows(spark, model):
+    """Null ids, repeated rows, extra columns with clashing names, a very long page, an empty table."""
+    page = f"<article><p>{PROSE}</p></article>"
+    rows = [(None, None, page, 1, "x"), (1, "u", page, 2, "x"), (1, "u", page, 2, "x"), (2, "v", f"<article>{f'<p>{PROSE}</p>' * 60_000}</article>", 3, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long, text string")
+    got = sorted(((r.page_id or 0, r.url, r.text) for r in html.main_text(df, model).collect()), key=str)
+    assert got == [(0, None, PROSE.strip()), (1, "u", PROSE.strip()), (1, "u", PROSE.strip()), (2, "v", (PROSE * 60_000).strip())]
+    assert html.main_text(df.limit(0), model).columns == ["page_id", "url", "text", "n_chars"]
+
+
 # 7 -------------------------------------------------------------------------
 
 
