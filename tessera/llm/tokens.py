@@ -60,6 +60,8 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("flags", "<u4"), ("offset", "<u8"), ("leng
 #: Cached pieces per worker; beyond this the cache starts afresh, with equal results.
 CACHE_PIECES = 1_000_000
 LONGEST_PIECE = 64
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 2 << 20
 #: Records that are read back at once.
 READ_ROWS = 256
 _MARKS = string.punctuation
@@ -222,7 +224,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
         wide = encoder.kind.itemsize
         with Attempt(system, name + ".rec") as out:
             for batch in batches:
-                for part in bytekit.slices(batch):
+                for part in bytekit.slices(batch, limit=ENCODE_BYTES):
                     ids, offs = encoder.encode_column(part.column("text"))
                     own = np.zeros(part.num_rows, ENTRY)
                     own["doc_id"] = pc.fill_null(part.column("doc_id"), 0)
