@@ -32,14 +32,46 @@ def words(text: str) -> F.Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), "")
 
 
-def hashing_encoder(dim: int = 64) -> Encoder:
-    """Each word a unit vector of signed hashed components: same word, same vector."""
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_numbered = lambda own: F.transform(own, lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+
+
+def plain_tokens(text: str, limit: int | None) -> F.Column:
+    """(pos, word) of the words of a text, of the first ``limit`` at most."""
+    return _numbered(words(text) if limit is None else F.slice(words(text), 1, limit))
+
+
+def padded_tokens(text: str, length: int, pad: str = "[PAD]") -> F.Column:
+    """Exactly ``length`` tokens: cut, or filled with padding."""
+    own = F.slice(words(text), 1, length)
+    return _numbered(F.concat(own, F.array_repeat(F.lit(pad), F.lit(length) - F.size(own))))
+
+
+def query_tokens(text: str, length: int | None = 32, context: str | None = None, longest: int = 500) -> F.Column:
+    """A query marker, the words, and masks up to ``length``; without a length as many as the text has, ``longest`` at most; the words of a context follow after a separator."""
+    room = F.lit(longest if length is None else length)
+    own = F.slice(words(text), 1, room - 1)
+    own = F.concat(F.array(F.lit("[Q]")), own)
+    if length is not None:
+        own = F.concat(own, F.array_repeat(F.lit("[MASK]"), room - F.size(own)))
+    if context is not None:
+        own = F.concat(own, F.array(F.lit("[SEP]")), words(context))
+    return _numbered(own)
+
+
+def document_tokens(text: str, limit: int | None = None) -> F.Column:
+    """A document marker and the words; tokens that are punctuation alone take a place but give no vector."""
+    own = F.concat(F.array(F.lit("[D]")), words(text) if limit is None else F.slice(words(text), 1, limit - 1))
+    return F.filter(_numbered(own), lambda x: F.length(F.translate(x["word"], PUNCTUATION, "")) > 0)
+
+
+def hashing_encoder(dim: int = 64, tokens: Callable[[str, int | None], F.Column] = plain_tokens) -> Encoder:
+    """Each word a unit vector of signed hashed components: same word, same vector.  ``word`` stays with it, for skip lists."""
 
     def encode(rows: DataFrame, max_tokens: int | None) -> DataFrame:
-        own = words("text") if max_tokens is None else F.slice(words("text"), 1, max_tokens)
-        toks = rows.select("id", F.posexplode(own).alias("pos", "word"))
+        toks = rows.select("id", F.explode(tokens("text", max_tokens)).alias("token")).select("id", "token.pos", "token.word")
         raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.pmod(F.xxhash64(F.col("word"), i), F.lit(2001)) - 1000) / 1000.0)
-        return toks.select("id", "pos", l2_normalize(raw).alias("emb"))
+        return toks.select("id", "pos", l2_normalize(raw).alias("emb"), "word")
 
     return encode
 
@@ -72,3 +104,5 @@ def drop_skipped(tokens: DataFrame, skipped: DataFrame) -> DataFrame:
 
 
 register_encoder("hash", hashing_encoder())
+register_encoder("hash-query", hashing_encoder(tokens=query_tokens))
+register_encoder("hash-document", hashing_encoder(tokens=document_tokens))

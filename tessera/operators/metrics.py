@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,8 +41,14 @@ def map_at_k(ranking: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     return both.agg(F.round(F.avg(F.coalesce(F.col("s") / F.col("n"), F.lit(0.0))), 5).alias("map"))
 
 
-def evaluate(ranking: DataFrame, qrels: DataFrame, graded: bool, ks: tuple[int, ...] | None = None) -> dict[str, float]:
-    """All metrics of a kind of judgement, by name and cut-off."""
+def metric_table(ranking: DataFrame, qrels: DataFrame, graded: bool, ks: tuple[int, ...] | None = None) -> DataFrame:
+    """(metric, k, value) of all metrics of a kind of judgement, in one plan."""
     ks = ks or ((5, 10, 50, 100) if graded else (5, 10, 100, 1000))
     parts = {"nDCG": ndcg_at_k, "MAP": map_at_k, "Recall": recall_at_k} if graded else {"Success": success_at_k, "Recall": recall_at_k}
-    return {f"{name}@{k}": f(ranking, qrels, k).first()[0] for name, f in parts.items() for k in ks}
+    rows = [f(ranking, qrels, k).toDF("value").select(F.lit(name).alias("metric"), F.lit(k).alias("k"), "value") for name, f in parts.items() for k in ks]
+    return reduce(DataFrame.unionAll, rows)
+
+
+def evaluate(ranking: DataFrame, qrels: DataFrame, graded: bool, ks: tuple[int, ...] | None = None) -> dict[str, float]:
+    """The same by name and cut-off."""
+    return {f"{r['metric']}@{r['k']}": r["value"] for r in metric_table(ranking, qrels, graded, ks).collect()}

@@ -173,3 +173,8 @@ def map_ids(ranking: DataFrame, collection_map: DataFrame) -> DataFrame:
 def grouped(ranking: DataFrame) -> DataFrame:
     """One row per query, its results in rank order."""
     return ranking.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "pid", "score"))), lambda x: F.struct(x["pid"].alias("pid"), x["score"].alias("score"))).alias("results"))
+
+
+def flat(grouped: DataFrame) -> DataFrame:
+    """The rows of a grouped ranking, with their ranks."""
+    return grouped.select("qid", F.posexplode("results").alias("rank", "x")).select("qid", "x.pid", "x.score", (F.col("rank") + 1).alias("rank"))

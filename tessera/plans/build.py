@@ -23,6 +23,8 @@ from ..functions import vectors as V
 CENTROID_BYTES = 64 << 20
 #: Scores of tokens by cells that a task holds at once.
 SCORE_CELLS = 4 << 20
+#: Passages whose offsets are added up together.
+OFFSET_RUN = 1 << 20
 
 
 def id_order(column: str, seed: int) -> list[Column]:
@@ -142,6 +144,29 @@ def ivf(index: DataFrame) -> DataFrame:
     return index.select("cid", "pid").distinct()
 
 
+def token_offsets(lengths: DataFrame) -> DataFrame:
+    """(pid, length) to (pid, offset): tokens of all passages before it, by ascending pid.
+
+    Sums of runs of passages are added up in one small window, places within a run in windows of their own.
+    """
+    run = F.floor(F.col("pid") / OFFSET_RUN).alias("run")
+    sums = lengths.groupBy(run).agg(F.sum("length").alias("n"))
+    before = sums.select("run", (F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    w = Window.partitionBy("run").orderBy("pid").rowsBetween(Window.unboundedPreceding, 0)
+    own = lengths.select("pid", "length", run).withColumn("within", F.sum("length").over(w) - F.col("length"))
+    return own.join(before, "run").select("pid", (F.col("before") + F.col("within")).alias("offset"))
+
+
+def ivf_tokens(index: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(cid, eid): the tokens of each cell, numbered through all passages."""
+    return index.join(token_offsets(lengths), "pid").select("cid", (F.col("offset") + F.col("pos")).alias("eid"))
+
+
+def mean_length(lengths: DataFrame) -> DataFrame:
+    """One row: passages, tokens, and tokens by passage."""
+    return lengths.agg(F.count(F.lit(1)).alias("passages"), F.sum("length").alias("tokens"), F.avg("length").alias("mean"))
+
+
 def doc_lengths(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("pid").agg(F.count(F.lit(1)).alias("length"))
 
@@ -202,7 +227,7 @@ class Index:
         self.centroids, self.codec, self.index, self.cells, self.meta = centroids, codec, index, cells, meta
 
     @classmethod
-    def build(cls, tokens: DataFrame, nbits: int = 4, centroids: DataFrame | None = None, cells: int | None = None, iterations: int = 4, seed: int = 123, heldout: bool = False) -> Index:
+    def build(cls, tokens: DataFrame, nbits: int = 4, centroids: DataFrame | None = None, cells: int | None = None, iterations: int = 4, seed: int = 123, heldout: bool = False, codec: DataFrame | None = None) -> Index:
         passages, n = tokens.agg(F.count_distinct("pid"), F.count(F.lit(1))).first()
         if centroids is None:
             picked = sample_pids(tokens, sample_size(passages), seed)
@@ -210,19 +235,24 @@ class Index:
             cells = cells or min(number_of_cells(passages, n / max(1, passages)), n)
             centroids = kmeans(sample, cells, iterations, seed)
         res = residuals(assign(tokens, centroids), centroids)
-        trained = split_heldout(res, seed=seed).where("heldout") if heldout else res
-        codec = train_codec(trained, nbits)
+        if codec is None:
+            trained = split_heldout(res, seed=seed).where("heldout") if heldout else res
+            codec = train_codec(trained, nbits)
         values = codec_values(codec)
         codec = tokens.sparkSession.createDataFrame([(values[0], values[1], values[2])], "nbits int, cutoffs array<double>, weights array<double>")
         # Cells and search both read it; what memory cannot hold goes to disk, what is lost is built again.
         index = compress(res, codec).select("cid", "pid", "pos", "codes").persist(StorageLevel.MEMORY_AND_DISK)
         return cls(centroids, codec, index, cell_sizes(index, centroids), {"num_passages": passages, "num_embeddings": n, "avg_doclen": n / max(1, passages), "nbits": nbits})
 
-    def write(self, path: str, mode: str = "errorifexists") -> Index:
-        """Parquet, the inverted table clustered and sorted by cell so that row groups prune; meta last, as the mark of success."""
+    def write(self, path: str, mode: str = "errorifexists", keep: bool = False) -> Index:
+        """Parquet, the inverted table clustered and sorted by cell so that row groups prune; meta last, as the mark of success.
+
+        ``keep``: centroids and codec stay where they are complete.
+        """
         spark = self.index.sparkSession
-        self.centroids.write.mode(mode).parquet(f"{path}/centroids")
-        self.codec.write.mode(mode).parquet(f"{path}/codec")
+        for name, table in (("centroids", self.centroids), ("codec", self.codec)):
+            if not (keep and _done(spark, f"{path}/{name}")):
+                table.write.mode(mode).parquet(f"{path}/{name}")
         packed = self.index.withColumn("residual", V.pack("codes", self.meta["nbits"])).drop("codes")
         packed.repartitionByRange("cid").sortWithinPartitions("cid", "pid", "pos").write.mode(mode).parquet(f"{path}/index")
         self.cells.write.mode(mode).parquet(f"{path}/cells")
@@ -244,6 +274,42 @@ class Index:
         return t_prime_for(self.meta["num_embeddings"], self.cells.count(), k, given)
 
 
+def _done(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
+def build_index(tokens: DataFrame, path: str, overwrite: bool | str = False, **options) -> Index:  # noqa: ANN003
+    """Build an index in a folder.
+
+    overwrite: False refuses a folder that has an index; True builds it anew;
+    "reuse" returns a complete index as it is; "resume" keeps the tables that an
+    interrupted build completed, centroids and codec foremost, and makes the rest.
+    """
+    spark = tokens.sparkSession
+    if overwrite == "reuse" and _done(spark, f"{path}/meta"):
+        return verified(Index.read(spark, path))
+    if overwrite is False and (_done(spark, f"{path}/meta") or _done(spark, f"{path}/centroids")):
+        raise FileExistsError(path)
+    if overwrite == "resume" and _done(spark, f"{path}/meta"):
+        return verified(Index.read(spark, path))
+    if overwrite == "resume" and _done(spark, f"{path}/centroids"):
+        options |= {"centroids": spark.read.parquet(f"{path}/centroids")}
+        if _done(spark, f"{path}/codec"):
+            options |= {"codec": spark.read.parquet(f"{path}/codec")}
+        return verified(Index.build(tokens, **options).write(path, "overwrite", keep=True))
+    return verified(Index.build(tokens, **options).write(path, "overwrite"))
+
+
+def verified(index: Index) -> Index:
+    """The index, if its tables agree with each other."""
+    held, counted = index.index.count(), index.cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not held == counted == index.meta["num_embeddings"]:
+        raise ValueError(f"the index holds {held} tokens, its cells {counted}, its plan {index.meta['num_embeddings']}")
+    return index
+
+
 def unpack(column: str, nbits: int, dim: int) -> Column:
     """Codes of a packed residual, first dimension in the highest bits."""
     digits = F.hex(column)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +33,21 @@ def missing_configs(configs: DataFrame, results: DataFrame, keys: list[str]) ->
     return configs.join(results, keys, "left_anti")
 
 
+def execute(spark: SparkSession, configs: list[dict], run: Callable[[dict], dict], path: str) -> DataFrame:
+    """Run the configurations that a table of results lacks, adding a row after each; the whole table (config, result), as JSON.
+
+    A run that breaks off is taken up where it ended; a configuration is known by its values, whatever their order.
+    """
+    schema, key = "config string, result string", lambda c: json.dumps(c, sort_keys=True)
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    done = {r["config"] for r in spark.read.schema(schema).parquet(path).select("config").collect()}
+    for c in configs:
+        if key(c) not in done:
+            done.add(key(c))
+            spark.createDataFrame([(key(c), json.dumps(run(c), sort_keys=True))], schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 class Tracker:
     """Seconds by step; every iteration must run the same steps in one order."""
 
