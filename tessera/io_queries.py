@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from . import queries as Q
 from .functions import encode
+from .functions import vectors as V
 from .operators import metrics, search, staged
 from .plans import build, experiment
 from .shared import materialize, new_path
 from .sources import text as io
+from .streaming.append import append_stream
 
 
 def _documents(s: SparkSession, d: str) -> DataFrame:
@@ -169,6 +171,29 @@ def index_resumed(s: SparkSession, d: str) -> DataFrame:
     return Q._ranked(search.search(index, Q.query_tokens(s, d), Q.K, Q.NPROBE, Q.T_PRIME, Q.CELLS))
 
 
+def streamed(s: SparkSession, d: str) -> DataFrame:
+    """An index of the even passages, to which a stream adds the odd ones; then a search of both."""
+    path, tokens = new_path(s, "index"), Q.doc_tokens(s, d).drop("label")
+    build.Index.build(tokens.where("pid % 2 = 0"), 4, Q.centroids(s, d)).write(path)
+    index, odd = build.Index.read(s, path), tokens.where("pid % 2 = 1")
+    odd.repartition(3).write.parquet(f"{path}/arriving")
+    arriving = s.readStream.schema(odd.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arriving")
+    append_stream(arriving, index, f"{path}/appended", f"{path}/checkpoint").awaitTermination()
+    index = index.extended(s.read.parquet(f"{path}/appended"))
+    return Q._ranked(search.search(index, Q.query_tokens(s, d), Q.K, Q.NPROBE, Q.T_PRIME, Q.CELLS))
+
+
+def decompressed(s: SparkSession, d: str) -> DataFrame:
+    """Every component of every token, rebuilt from 2 bits."""
+    index = Q.fixed_index(s, d, 2)
+    rows = build.decompress(index.index, index.centroids, index.codec)
+    return rows.select("pid", "pos", F.posexplode("emb").alias("i", "x")).select("pid", "pos", "i", (F.round("x", 4) + 0.0).alias("x"))
+
+
+def packed(s: SparkSession, d: str) -> DataFrame:
+    return Q._codes(s, d, 4).select("pid", "pos", V.pack_hex("codes", 4).alias("hex"))
+
+
 def cell_tokens(s: SparkSession, d: str) -> DataFrame:
     return build.ivf_tokens(Q._assigned(s, d), build.doc_lengths(Q.doc_tokens(s, d)))
 
@@ -253,6 +278,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "query_backgrounds": backgrounds,
     "index_round_trip": index_round_trip,
     "index_resumed": index_resumed,
+    "index_streamed": streamed,
+    "decompress_all": decompressed,
+    "pack_residuals_4bit": packed,
     "cell_tokens": cell_tokens,
     "mean_length": mean_length,
     "search_padded": padded_search,
@@ -316,6 +344,9 @@ ORACLES: dict[str, str] = {
     "query_backgrounds": Q._with(_B, "p AS (SELECT qid, text, unnest([0, 1]) AS i FROM b)", "n AS (SELECT p.qid, string_agg(d.text, ' [SEP] ' ORDER BY i) AS background FROM p JOIN documents d ON d.doc_id = length(p.text) + i GROUP BY p.qid)") + "SELECT b.qid, md5(background) AS background FROM b LEFT JOIN n ON n.qid = b.qid",
     "index_round_trip": Q._search_sql(4),
     "index_resumed": Q._search_sql(2),
+    "index_streamed": Q._search_sql(4).replace("FROM r), k AS", "FROM r WHERE pid % 2 = 0), k AS"),
+    "decompress_all": Q._with(_D, Q._C, Q._AS, Q._R, Q._codec(2), Q._DEC) + "SELECT pid, pos, CAST(i - 1 AS INTEGER) AS i, round(e[i], 4) + 0.0 AS x FROM (SELECT pid, pos, e, unnest(range(1, len(e) + 1)) AS i FROM de)",
+    "pack_residuals_4bit": Q._with(_D, Q._C, Q._AS, Q._R, Q._codec(4)) + "SELECT pid, pos, string_agg(substr('0123456789ABCDEF', CAST(code AS INTEGER) + 1, 1), '' ORDER BY i) AS hex FROM k GROUP BY pid, pos",
     "cell_tokens": Q._with(_D, Q._C, Q._AS, "l AS (SELECT pid, sum(n) OVER (ORDER BY pid) - n AS o FROM (SELECT pid, count(*) AS n FROM d GROUP BY pid))") + "SELECT cid, CAST(o + pos AS BIGINT) AS eid FROM a JOIN l USING (pid)",
     "mean_length": Q._with(_D) + "SELECT count(*) AS passages, CAST(sum(n) AS BIGINT) AS tokens, avg(n) AS mean FROM (SELECT pid, count(*) AS n FROM d GROUP BY pid)",
     "search_padded": Q._search_sql(4),

@@ -7,6 +7,7 @@ codes), cells (cid, n), codec (one row: nbits, cutoffs, weights, avg_residual).
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,10 @@ from ..functions import vectors as V
 CENTROID_BYTES = 64 << 20
 #: Scores of tokens by cells that a task holds at once.
 SCORE_CELLS = 4 << 20
+#: Cells whose sums travel together.
+SUM_CELLS = 1024
+#: Tokens from which on a codec is trained on the held-out part alone.
+HELDOUT_FROM = 10_000
 #: Passages whose offsets are added up together.
 OFFSET_RUN = 1 << 20
 
@@ -45,15 +50,15 @@ def split_heldout(tokens: DataFrame, share: float = 0.05, most: int = 50_000, se
 
 def matrix_blocks(centroids: DataFrame, limit: int = CENTROID_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Centroids in ascending blocks of bounded size, as (ids, matrix)."""
-    dim = centroids.select(F.max(F.size("emb"))).first()[0] or 1
-    rows = max(1, limit // (8 * dim))
-    lo, hi = centroids.agg(F.min("cid"), F.max("cid")).first()
+    dim, lo, hi = centroids.agg(F.max(F.size("emb")), F.min("cid"), F.max("cid")).first()
     if lo is None:
         return
+    rows = max(1, limit // (8 * (dim or 1)))
     for at in range(lo, hi + 1, rows):
-        t = centroids.where(F.col("cid").between(at, at + rows - 1)).orderBy("cid").select("cid", F.col("emb").cast("array<double>").alias("emb")).toArrow()
+        part = centroids if hi - lo < rows else centroids.where(F.col("cid").between(at, at + rows - 1))
+        t = part.orderBy("cid").select("cid", F.col("emb").cast("array<double>").alias("emb")).toArrow()
         if t.num_rows:
-            yield t.column("cid").to_numpy().astype(np.int64), np.array(t.column("emb").to_pylist(), np.float64)
+            yield t.column("cid").to_numpy().astype(np.int64), _matrix(t.column("emb").combine_chunks())
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -177,47 +182,62 @@ def chunk_plan(passages: DataFrame, size: int) -> DataFrame:
     return c.withColumn("token_offset", F.sum("tokens").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
 
 
-def _sums(assigned: DataFrame) -> DataFrame:
-    """(cid, n, total): tokens of each cell and their sum, added up in the tasks before anything is shuffled."""
+SUMS = "block long, n binary, total binary"
+
+
+def _sums(assigned: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells, their numbers of tokens and the sums of these, added up in the tasks before anything is shuffled, then by blocks of ``SUM_CELLS`` cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = np.zeros(0, np.int64), None
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             if not b.num_rows:
                 continue
             x, cid = _matrix(b.column("emb")), b.column("cid").to_numpy()
             order = np.argsort(cid, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(cid[order]) > 0])
-            own = cid[order][first]
-            if len(n) <= own[-1]:
-                more = int(own[-1]) + 1 - len(n)
-                n = np.r_[n, np.zeros(more, np.int64)]
-                total = np.zeros((more, x.shape[1])) if total is None else np.vstack([total, np.zeros((more, x.shape[1]))])
-            n[own] += np.diff(np.r_[first, len(cid)])
-            total[own] += np.add.reduceat(x[order], first)
-        at = np.flatnonzero(n)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(list(total[at]), pa.list_(pa.float64()))], ["cid", "n", "total"])
-
-    dims = assigned.select("cid", "emb").mapInArrow(run, "cid long, n long, total array<double>")
-    parts = dims.select("cid", "n", F.posexplode("total").alias("d", "x")).groupBy("cid", "d").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    return parts.groupBy("cid").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda y: y["x"]).alias("total"))
+            own, n, total = cid[order][first], np.diff(np.r_[first, len(cid)]), np.add.reduceat(x[order], first)
+            for block in np.unique(own // SUM_CELLS).tolist():
+                at = own // SUM_CELLS == block
+                if block not in held:
+                    held[block] = np.zeros(SUM_CELLS, np.int64), np.zeros((SUM_CELLS, dim))
+                held[block][0][own[at] % SUM_CELLS] += n[at]
+                held[block][1][own[at] % SUM_CELLS] += total[at]
+        for block, (n, total) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([n.tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())], ["block", "n", "total"])
+
+    def add(table: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x, np.int64) for x in table.column("n").to_pylist())
+        total = sum(np.frombuffer(x, np.float64) for x in table.column("total").to_pylist())
+        return pa.table({"block": table.column("block").slice(0, 1), "n": pa.array([n.tobytes()], pa.binary()), "total": pa.array([total.tobytes()], pa.binary())})
+
+    parts = assigned.select("cid", "emb").mapInArrow(run, SUMS)
+    tasks = parts.rdd.getNumPartitions()
+    if tasks > 64:
+        # In two steps, so that no more than some dozens of a block meet at once.
+        parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(tasks)))).groupBy("block", "salt").applyInArrow(lambda t: add(t), SUMS)
+    found = parts.groupBy("block").applyInArrow(lambda t: add(t), SUMS).toArrow().to_pylist()
+    n = np.concatenate([np.frombuffer(x["n"], np.int64) for x in found]) if found else np.zeros(0, np.int64)
+    total = np.concatenate([np.frombuffer(x["total"], np.float64) for x in found]).reshape(-1, dim) if found else np.zeros((0, dim))
+    cid = np.concatenate([x["block"] * SUM_CELLS + np.arange(SUM_CELLS) for x in found]) if found else n
+    return cid[n > 0], n[n > 0], total[n > 0]
+
+
+def _centroid_frame(spark: SparkSession, m: np.ndarray) -> DataFrame:
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+    return spark.createDataFrame(pa.table({"cid": pa.array(np.arange(len(m))), "emb": rows}))
 
 
 def kmeans(tokens: DataFrame, cells: int, iterations: int = 4, seed: int = 123) -> DataFrame:
     """Spherical k-means by Lloyd's steps; an emptied cell keeps its centroid."""
     start = tokens.orderBy(F.xxhash64("pid", "pos", F.lit(seed)), "pid", "pos").limit(cells).select("emb").toArrow()
-    m = np.array(start.column("emb").to_pylist(), np.float64)
-    spark = tokens.sparkSession
-    as_frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "cid long, emb array<double>")
+    m = _matrix(start.column("emb").combine_chunks())
     for _ in range(iterations):
-        a = assign(tokens.select("pid", "pos", "emb"), as_frame(m))
-        means = _sums(a).toArrow()
+        cid, n, total = _sums(assign(tokens.select("pid", "pos", "emb"), _centroid_frame(tokens.sparkSession, m)), m.shape[1])
         m = m.copy()
-        total = np.array(means.column("total").to_pylist(), np.float64).reshape(-1, m.shape[1])
-        m[means.column("cid").to_numpy()] = total / means.column("n").to_numpy()[:, None]
+        m[cid] = total / n[:, None]
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    return as_frame(m)
+    return _centroid_frame(tokens.sparkSession, m)
 
 
 class Index:
@@ -227,14 +247,17 @@ class Index:
         self.centroids, self.codec, self.index, self.cells, self.meta = centroids, codec, index, cells, meta
 
     @classmethod
-    def build(cls, tokens: DataFrame, nbits: int = 4, centroids: DataFrame | None = None, cells: int | None = None, iterations: int = 4, seed: int = 123, heldout: bool = False, codec: DataFrame | None = None) -> Index:
+    def build(cls, tokens: DataFrame, nbits: int = 4, centroids: DataFrame | None = None, cells: int | None = None, iterations: int = 4, seed: int = 123, heldout: bool | None = None, codec: DataFrame | None = None) -> Index:
+        """heldout: whether the codec is trained on held-out tokens alone; by default where the cells are trained too, unless there are few tokens."""
         passages, n = tokens.agg(F.count_distinct("pid"), F.count(F.lit(1))).first()
-        if centroids is None:
+        given = centroids is not None
+        if not given:
             picked = sample_pids(tokens, sample_size(passages), seed)
             sample = tokens.join(picked, "pid", "left_semi")
             cells = cells or min(number_of_cells(passages, n / max(1, passages)), n)
             centroids = kmeans(sample, cells, iterations, seed)
         res = residuals(assign(tokens, centroids), centroids)
+        heldout = n >= HELDOUT_FROM and not given if heldout is None else heldout
         if codec is None:
             trained = split_heldout(res, seed=seed).where("heldout") if heldout else res
             codec = train_codec(trained, nbits)
@@ -270,6 +293,15 @@ class Index:
         """Index rows of more tokens, under the centroids and codec there are."""
         return compress(residuals(assign(tokens, self.centroids), self.centroids), self.codec).select("cid", "pid", "pos", "codes")
 
+    def extended(self, rows: DataFrame) -> Index:
+        """With more rows, as ``add`` makes them and a stream writes them; its cells count them."""
+        more = rows.groupBy("cid").agg(F.count(F.lit(1)).alias("more"))
+        cells = self.cells.join(more, "cid", "left").select("cid", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        passages, n = rows.agg(F.count_distinct("pid"), F.count(F.lit(1))).first()
+        total = {"num_passages": self.meta["num_passages"] + passages, "num_embeddings": self.meta["num_embeddings"] + n}
+        meta = self.meta | total | {"avg_doclen": total["num_embeddings"] / max(1, total["num_passages"])}
+        return Index(self.centroids, self.codec, self.index.unionByName(rows.select("cid", "pid", "pos", "codes")), cells, meta)
+
     def t_prime(self, k: int, given: int | None = None) -> int:
         return t_prime_for(self.meta["num_embeddings"], self.cells.count(), k, given)
 
