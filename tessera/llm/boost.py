@@ -12,8 +12,8 @@ class Boosted:
     batch is scored by ``depth`` vector steps a tree.
     """
 
-    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, least: float = 4.0) -> None:
-        self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
+    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, least: float = 4.0, share: float = 1.0) -> None:
+        self.rounds, self.depth, self.rate, self.bins, self.least, self.share = rounds, depth, rate, bins, least, share
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Boosted:
         weight = np.ones(len(y)) if weight is None else weight
@@ -26,10 +26,14 @@ class Boosted:
         self.cut = np.full((self.rounds, inner), np.inf, np.float64)
         self.leaf = np.zeros((self.rounds, inner + 1))
         total = np.full(len(y), self.base)
+        pick, columns = np.random.default_rng(7), [np.ascontiguousarray(c) for c in binned.T]
         for r in range(self.rounds):
-            p = 1 / (1 + np.exp(-total))
-            g, h = weight * (p - y), weight * p * (1 - p)
-            node = np.zeros(len(y), np.int64)
+            # A tree is grown on a share of the rows, the same ones at each training.
+            some = np.flatnonzero(pick.random(len(y)) < self.share) if self.share < 1 else np.arange(len(y))
+            p = 1 / (1 + np.exp(-total[some]))
+            g, h = weight[some] * (p - y[some]), weight[some] * p * (1 - p)
+            own = [c[some] for c in columns]
+            node = np.zeros(len(some), np.int64)
             for level in range(self.depth):
                 n, first = 2**level, 2**level - 1
                 best = np.full(n, 1e-9)
@@ -38,7 +42,7 @@ class Boosted:
                     k = len(edges[f]) + 1
                     if k < 2:
                         continue
-                    at = (node - first) * k + binned[:, f]
+                    at = (node - first) * k + own[f]
                     gs = np.cumsum(np.bincount(at, g, n * k).reshape(n, k), 1)
                     hs = np.cumsum(np.bincount(at, h, n * k).reshape(n, k), 1)
                     gt, ht = gs[:, -1:], hs[:, -1:]
@@ -49,26 +53,28 @@ class Boosted:
                     better = gain[np.arange(n), j] > best
                     for i in np.flatnonzero(better):
                         best[i], where[i] = gain[i, j[i]], (f, int(j[i]))
-                go = np.zeros(len(y), np.int64)
+                go = np.zeros(len(some), np.int64)
                 for i, (f, j) in enumerate(where):
                     if j is not None:
                         self.feature[r, first + i], self.cut[r, first + i] = f, edges[f][j]
                         mine = node == first + i
-                        go[mine] = binned[mine, f] > j
+                        go[mine] = own[f][mine] > j
                 node = 2 * node + 1 + go
             leaf = node - inner
-            value = -self.rate * np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + 1)
-            self.leaf[r] = value
-            total = total + value[leaf]
+            self.leaf[r] = -self.rate * np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + 1)
+            total += self.leaf[r][self._leaves(x, r)]
         return self
 
+    def _leaves(self, x: np.ndarray, r: int) -> np.ndarray:
+        """The leaf of tree r that each row falls into."""
+        rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[rows, self.feature[r][node]] > self.cut[r][node])
+        return node - len(self.cut[r])
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of the second class."""
         total = np.full(len(x), self.base)
-        rows = np.arange(len(x))
-        for feature, cut, leaf in zip(self.feature, self.cut, self.leaf, strict=True):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                node = 2 * node + 1 + (x[rows, feature[node]] > cut[node])
-            total += leaf[node - len(cut)]
+        for r in range(len(self.leaf)):
+            total += self.leaf[r][self._leaves(x, r)]
         return total

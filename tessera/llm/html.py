@@ -41,6 +41,8 @@ from . import bytekit
 from .boost import Boosted
 
 TRAINING_PAGES = 1400
+#: The most that the block around it adds to the log-odds of a block.
+PULL = 1.0
 
 # Outside of quotes a tag ends at the next angle bracket, and nothing is tried twice: a page is scanned in linear time.
 _ATTR = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""
@@ -237,7 +239,10 @@ class Page:
         for key, o, w in zip(keys, odds.tolist(), self.own, strict=True):
             a, b = like.get(key, (0.0, 0))
             like[key] = a + o * (w + 1), b + w + 1
-        gain = [like[key][0] / like[key][1] * (w + 1) for key, w in zip(keys, self.own, strict=True)]
+        pooled = [like[key][0] / like[key][1] for key in keys]
+        # What the block around it is speaks for a block as well, if it is in doubt.
+        pull = [0.0, *(max(-PULL, min(PULL, pooled[p] / 4)) for p in self.parent[1:])]
+        gain = [(o + more) * (w + 1) for o, more, w in zip(pooled, pull, self.own, strict=True)]
         for v in range(len(gain) - 1, 0, -1):
             if self.off[v]:
                 gain[v] = 0.0
@@ -273,8 +278,8 @@ def _noise(r: random.Random, text: str) -> str:
     return text
 
 
-def training_page(r: random.Random) -> tuple[str, str]:
-    """A random page and its main text."""
+def training_html(r: random.Random) -> str:
+    """A random page with its main text between marks."""
     links = lambda n: "".join(f'<li><a href="/{i}">{_prose(r, r.randint(1, 3))}</a>' + r.choice(("</li>", "</li>", "")) for i in range(n))
     plain = lambda n: f"<p>{_noise(r, _prose(r, n))}</p>"
 
@@ -335,6 +340,12 @@ def training_page(r: random.Random) -> tuple[str, str]:
     head = r.choice((f"<head><title>{_prose(r, 4)}</title><style>p{{}}</style></head>", f"<head><title>{_prose(r, 4)}</title><style>p{{}}</style></head>", f"<head><meta charset=utf-8><title>{_prose(r, 4)}</title>", ""))
     start, end = r.choice((("<body>", "</body>"), ("<body>", "</body>"), ("<body>", "</body>"), ("", "")))
     marked = f'<!DOCTYPE html><html>{head}{start}<script>var t="</p>";</script>{body}{end}</html>'
+    return marked
+
+
+def training_page(r: random.Random) -> tuple[str, str]:
+    """A random page, with marks, and its main text."""
+    marked = training_html(r)
     page = Page(marked)
     main, on = [], False
     for _, text in page.runs:
@@ -351,7 +362,7 @@ def train(pages: int = TRAINING_PAGES, seed: int = 11) -> Boosted:
     """Trees from generated pages; a block is positive if it holds main text, or a block that does."""
     r, xs, ys, ws = random.Random(seed), [], [], []
     for _ in range(pages):
-        marked, _ = training_page(r)
+        marked = training_html(r)
         marks = Page(marked)
         clean = Page(re.sub("[\x01\x02]", "", marked))
         label = np.zeros(len(marks.tag))
@@ -370,7 +381,7 @@ def train(pages: int = TRAINING_PAGES, seed: int = 11) -> Boosted:
             xs.append(x)
             ys.append(label)
             ws.append(np.log1p(np.array(clean.own)) + 0.5)
-    return Boosted(rounds=80, depth=4, rate=0.25).fit(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
+    return Boosted(rounds=80, depth=4, rate=0.25, share=0.5).fit(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
 
 
 def extract(sources: list[str], model: Boosted) -> list[str]:
