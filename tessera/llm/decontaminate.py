@@ -12,7 +12,8 @@ larger benchmark is cut into blocks of that size, stored in the shared folder,
 and each task takes the blocks one after the other: the result is the same.
 The documents are not shuffled.
 
-Cases: null or empty texts have no words, so they neither hit nor are hit; an
+Cases: very long texts need memory in proportion to one text; windows that overlap
+or tie hit a word once; null or empty texts have no words, so they neither hit nor are hit; an
 empty benchmark hits nothing; a null item id is never listed, but its windows
 count; equal items are all listed; repeated document rows are treated alike;
 extra columns are carried or ignored, whatever their names.

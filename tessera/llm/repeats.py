@@ -54,8 +54,6 @@ from .shared import materialize
 LENGTH, GRAM = 100, 32
 NO_ID = -(2**63)
 FLUSH, FLUSH_BYTES = 1_000_000, 16 << 20
-#: Bytes of text that are hashed at once.
-HASH_BYTES = 2 << 20
 #: Bytes of text, and of parts, that a bucket is meant to hold the seeds or the bytes of.
 BUCKET_BYTES = 12 << 20
 #: Bytes of parts that are transformed at once; below 2**21, for a position has 21 bits.
@@ -348,7 +346,7 @@ def _round(docs: DataFrame, opened: DataFrame, core: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in bk.slices(batch, limit=HASH_BYTES):
+            for part in bk.slices(batch):
                 buf, offs, doc, sub = _keys(part)
                 at = part.column("at")
                 of = np.repeat(np.arange(part.num_rows), np.diff(at.offsets.to_numpy()))
@@ -390,7 +388,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in bk.slices(batch, limit=HASH_BYTES):
+            for part in bk.slices(batch):
                 held.append(seeds(*_keys(part)))
                 size += len(held[-1])
                 if size > FLUSH:
@@ -457,3 +455,17 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.hash("text").alias("sub"), F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(gone, ["doc", "sub"], "left").select("doc_id", "text", "at")
     return rows.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+SQL = r"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT doc_id, i, md5_number(hex(x[i + 1:i + 100])) AS h FROM (SELECT doc_id, x, unnest(range(0, octet_length(x) - 99)) AS i FROM t WHERE octet_length(x) >= 100)),
+a AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+b AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + 100 AS new FROM a),
+r AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM (SELECT doc_id, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM b) GROUP BY doc_id, g),
+k AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS lo, lo AS hi FROM r UNION ALL SELECT t.doc_id, coalesce(max(r.hi), 0), octet_length(any_value(x)) FROM t LEFT JOIN r ON r.doc_id = t.doc_id GROUP BY t.doc_id),
+s AS (SELECT t.doc_id, sha256(unhex(coalesce(string_agg(hex(x[lo + 1:hi]), '' ORDER BY lo), ''))) AS kept_sha256 FROM t JOIN k ON k.doc_id = t.doc_id GROUP BY t.doc_id),
+n AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT t.doc_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, kept_sha256
+FROM t JOIN s ON s.doc_id = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id
+"""
