@@ -14,8 +14,10 @@ holds a key holds it in its largest document: that is the owner.  Keys of at
 least ``MIN_CHARS`` code points in at least ``MIN_DOCS`` documents lose all
 their lines except in their owner.
 
-Cases: a null or empty text is one empty line; a null id is the smallest id;
-rows that repeat an id are one document to the count, and each is cut alike;
+Cases: a null or empty text is one empty line; very long texts and lines need
+memory in proportion to one text; a null id is the smallest id; rows that repeat an
+id are one document to the count, and each is cut alike; a key that occurs several
+times in its owner stays there as often; of equal rows each is cut alike;
 an empty table gives an empty result; extra columns are ignored by the report
 and carried by ``dedup_lines``, whatever their names.
 """
@@ -133,11 +135,13 @@ def dropped_keys(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT)
     keys = materialize(line_keys(docs), "line-keys")
     cuts = keys.select(F.percentile_approx("id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     store, edges = LineRuns(spark, fanout), [None, *sorted(set(cuts)), None]
-    for lo, hi in reversed(list(zip(edges[:-1], edges[1:], strict=True))):
-        part = keys if lo is None else keys.where(F.col("id") > lo)
-        store.add(part if hi is None else part.where(F.col("id") <= hi))
-    common = materialize(store.merged().where(F.col("docs") >= MIN_DOCS).select(*KEY, "owner"), "common-lines")
-    store.forget()
+    try:
+        for lo, hi in reversed(list(zip(edges[:-1], edges[1:], strict=True))):
+            part = keys if lo is None else keys.where(F.col("id") > lo)
+            store.add(part if hi is None else part.where(F.col("id") <= hi))
+        common = materialize(store.merged().where(F.col("docs") >= MIN_DOCS).select(*KEY, "owner"), "common-lines")
+    finally:
+        store.forget()
     lost = keys.join(common, KEY).where(F.col("id") != F.col("owner"))
     return lost.groupBy("id").agg(F.collect_set(F.struct(*KEY)).alias("gone"))
 

@@ -180,3 +180,36 @@ def keep_good(docs: DataFrame) -> DataFrame:
     # The row number ties the filter to its place: pushed down, it would repeat the
     # nested expressions behind "kept" once for each use, beyond any planner's patience.
     return d.withColumn("at", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("at") >= 0)).select("row.*")
+
+
+def _js_sql(p: str, q: str) -> str:
+    half = f"(({p} + {q}) / 2)"
+    return f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / {half}) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / {half}) ELSE 0 END)"
+
+
+_COUNTED = ", ".join(f"length(regexp_replace(t, '[^{p[1:-1].replace(chr(39), chr(39) * 2)}]', '', 'g')) AS {k}" for k, p in CLASSES.items() if k != "beyond")
+_NAMES = ["other", *CLASSES]
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, chr(0)) AS lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT doc_id, lang, len(w) AS n, length(t) AS size, {_COUNTED}, length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) AS beyond,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+e AS (SELECT *, size - space - upper - digit - stop - symbol - beyond AS other FROM c),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+u AS (SELECT lang, word, count(*) AS c FROM (SELECT lang, unnest(w) AS word FROM d) GROUP BY lang, word),
+q AS (SELECT lang, word, c / total AS q FROM (SELECT *, sum(c) OVER (PARTITION BY lang) AS total FROM u) WHERE c >= total * {COMMON_SHARE}),
+own AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(w) AS word FROM d) GROUP BY doc_id, word),
+h AS (SELECT c.doc_id, q.q, coalesce(own.c, 0) / greatest(c.n, 1) AS p FROM c JOIN q ON q.lang = c.lang LEFT JOIN own ON own.doc_id = c.doc_id AND own.word = q.word),
+hr AS (SELECT doc_id, q, p FROM h UNION ALL SELECT c.doc_id, greatest(1 - coalesce(sum(q), 0), 0), (any_value(c.n) - coalesce(round(sum(p * greatest(c.n, 1))), 0)) / greatest(any_value(c.n), 1) FROM c LEFT JOIN h ON h.doc_id = c.doc_id GROUP BY c.doc_id),
+wd AS (SELECT doc_id, sqrt(greatest(sum({_js_sql("p", "q")}) / 2, 0)) AS word_distance FROM hr GROUP BY doc_id),
+l AS (SELECT lang, {", ".join(f"sum({k}) / greatest(sum(size), 1) AS {k}" for k in _NAMES)} FROM e GROUP BY lang),
+cd AS (SELECT doc_id, sqrt(greatest(({" + ".join(_js_sql(f"(e.{k} / e.size)", f"l.{k}") for k in _NAMES)}) / 2, 0)) AS char_distance FROM e JOIN l ON l.lang = e.lang WHERE size >= {MIN_CHARS}),
+v AS (SELECT e.doc_id, e.n, e.size - e.space AS word_chars, e.symbol, len(lines) - len(list_distinct(lines)) AS dup, coalesce(n_repeat, 0) AS rep, char_distance, CASE WHEN e.n >= {MIN_WORDS} THEN word_distance END AS word_distance
+      FROM e LEFT JOIN r ON r.doc_id = e.doc_id LEFT JOIN wd ON wd.doc_id = e.doc_id LEFT JOIN cd ON cd.doc_id = e.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(symbol AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines, CAST(rep AS BIGINT) AS n_repeat_words,
+       n < {MIN_BASE_WORDS} OR 100 * rep > {REPEAT_PERCENT} * n AS base_failed,
+       NOT (n < {MIN_BASE_WORDS} OR 100 * rep > {REPEAT_PERCENT} * n) AND coalesce(char_distance, 0) <= {MAX_CHAR_DISTANCE} AND coalesce(word_distance, 0) <= CASE WHEN n < {FEW_WORDS} THEN {MAX_FEW_WORD_DISTANCE} ELSE {MAX_WORD_DISTANCE} END AS kept,
+       round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance
+FROM v
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, html, jaccard, lines, lm, mixing, quality, repeats, secrets, tokens
 from .shared import documents
@@ -35,7 +36,8 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_report(documents(spark, sf_dir))
+    report = quality.quality_report(documents(spark, sf_dir))
+    return report.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +70,8 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": lines.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op6_main_text": html.SQL,
+    "op7_quality_rules": quality.SQL,
     "op8_jaccard_join": jaccard.SQL,
+    "op9_byte_repeats": repeats.SQL,
+    "op10_secret_scan": secrets.SQL,
 }

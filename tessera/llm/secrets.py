@@ -20,7 +20,8 @@ give in linear time, however many parts a text has.  Offsets come from the
 lengths of matches and of the pieces between them.  The texts are scanned
 where they lie; only lengths leave the scan.
 
-Cases: a null or empty text has no spans; rows that repeat are scanned alike
+Cases: a very long text is scanned whole, its parts as rows of their own; a null
+or empty text has no spans; rows that repeat are scanned alike
 and stay apart; ties of start go by kind as listed; an empty table gives an
 empty result; extra columns are ignored, whatever their names.
 """
@@ -111,3 +112,34 @@ def secret_report(docs: DataFrame) -> DataFrame:
     out = scanned.select("rid", "doc_id").join(found, "rid", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", *[zero(f"n_{k}") for k in BASE], F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero("n_linked"))
+
+
+def _parts_sql(rank: int, kind: str) -> str:
+    """Matches of a kind with their places, from the lengths of the pieces between them."""
+    pattern, group, least = KINDS[kind]
+    pattern = pattern.replace("(?<![A-Za-z0-9+/_-])", "").replace("'", "''")
+    good = f"length(g) >= {least}" + (" AND length(regexp_replace(g, '[^0-9]', '', 'g')) >= 4 AND length(regexp_replace(g, '[^A-Za-z]', '', 'g')) >= 4" if kind == "opaque" else "")
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, e - m AS s, e FROM (SELECT doc_id, m, g, sum(p + m) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+      SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, length(unnest(string_split_regex(t, '{pattern}')[1:len(a)])) AS p, length(unnest(a)) AS m, unnest(regexp_extract_all(t, '{pattern}', {group})) AS g
+      FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS a FROM d))) WHERE {good}"""
+
+
+def _near_sql(kinds: tuple[str, ...], gap: int) -> str:
+    those = "(" + ", ".join(f"'{k}'" for k in kinds) + ")"
+    w = "PARTITION BY doc_id ORDER BY s, rank ROWS BETWEEN"
+    return f"(coalesce(s - max(e) FILTER (WHERE kind IN {those}) OVER ({w} UNBOUNDED PRECEDING AND 1 PRECEDING) <= {gap}, false) OR coalesce(min(s) FILTER (WHERE kind IN {those}) OVER ({w} 1 FOLLOWING AND UNBOUNDED FOLLOWING) - e <= {gap}, false))"
+
+
+_BASE = "('assign', 'access', 'hex')"
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS ({" UNION ALL ".join(_parts_sql(i, k) for i, k in enumerate(KINDS))}),
+c AS (SELECT * FROM (SELECT *, {_near_sql(BASE, -1)} AS over FROM p) WHERE kind IN {_BASE} OR kind = 'ident' OR NOT over),
+n AS (SELECT *, {_near_sql(SECRETS, SCOPE)} AS secret, {_near_sql(IDENTS, SCOPE)} AS ident, {_near_sql(("endpoint",), SCOPE)} AS place FROM c),
+f AS (SELECT *, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS span FROM n WHERE kind IN {_BASE} OR (kind = 'ident' AND secret) OR (kind = 'opaque' AND (ident OR place)) OR (kind = 'endpoint' AND ident AND secret)),
+x AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS b, count(*) FILTER (WHERE kind = 'hex') AS h, count(*) FILTER (WHERE kind NOT IN {_BASE}) AS l,
+      string_agg(span, ',' ORDER BY s, rank) FILTER (WHERE kind IN {_BASE}) AS base, string_agg(span, ',' ORDER BY s, rank) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0) AS BIGINT) AS n_access, CAST(coalesce(h, 0) AS BIGINT) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(l, 0) AS BIGINT) AS n_linked
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id
+"""
