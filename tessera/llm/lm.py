@@ -53,9 +53,12 @@ TAILS, SWEEPS, ALPHA = 512, 10, 0.5
 #: Sweeps end when two in a row move less than this share of the tokens.
 STILL = 0.005
 LEAST_CLASSES, MOST_CLASSES = 16, 1024
+#: What is found of a word in a document is one whole number: its place among the document's rare words, its class + 1, its count.
+COUNT_BITS, CLASS_BITS = 25, 11
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0xE0D)
 BLOCK_BYTES = 1 << 20
+#: Bytes of sequences that are worked on at once.
 SEQUENCE_BYTES = 1 << 20
 #: Occurrences that a task merges before they travel, and bytes of them that a bucket is meant to hold.
 FLUSH, BUCKET_BYTES = 1_000_000, 32 << 20
@@ -65,6 +68,11 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
+def is_known(n: int) -> Column:
+    """Whether a word with ``c`` of ``n`` occurrences is broadcast."""
+    return (F.col("c") * KNOWN_SHARE >= n) | (F.col("c") >= 1 << COUNT_BITS)
+
+
 def number_of_classes(words: int) -> int:
     """A power of two near a quarter of the root of the number of words; the table of transitions stays within 8 MB."""
     return min(MOST_CLASSES, max(LEAST_CLASSES, 2 ** int(math.log2(max(1.0, math.sqrt(words) / 4)))))
@@ -120,7 +128,7 @@ class Vocabulary:
         n, v, many = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(often, 1))).first()
         self.n, self.v, self.classes = int(n), int(v), number_of_classes(many)
         share = min(ITEM_SHARE, HEAD_CELLS // self.classes)
-        known = counts.where((F.col("c") * KNOWN_SHARE >= self.n) | (F.col("h") == int(END))).select("h", "c").toArrow()
+        known = counts.where(is_known(self.n) | (F.col("h") == int(END))).select("h", "c").toArrow()
         h, c = known.column("h").to_numpy().view(np.uint64), known.column("c").to_numpy()
         order = np.argsort(h)
         self.h, self.c = h[order], c[order]
@@ -199,10 +207,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return rows.mapInArrow(run, ENCODED)
 
 
-def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sequences(batch: pa.RecordBatch, kind: type = np.uint16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Items (or classes) of a batch of documents, the one before each (the end, at first), and where documents begin."""
     buf, offs = bk.flat(batch.column("seq"))
-    item, first = buf.view(np.uint16).astype(np.int64), offs // 2
+    item, first = buf.view(kind).astype(np.int64), offs // np.dtype(kind).itemsize
     before = np.empty_like(item)
     before[1:] = item[:-1]
     before[first[:-1]] = 0
@@ -313,9 +321,9 @@ LEXICON = "h long, cls int, c long"
 
 def lexicon(encoded: DataFrame, vocabulary: Vocabulary, classes: np.ndarray, t: np.ndarray) -> DataFrame:
     """(h, cls, c) of all training words that are no items: the class they choose (-1: seen too rarely) and their count."""
-    k, kind = vocabulary.classes, np.dtype([("h", "<u8"), ("b", "<u1"), ("a", "<u1"), ("n", "<u4")] if vocabulary.classes <= 256 else [("h", "<u8"), ("b", "<u2"), ("a", "<u2"), ("n", "<u4")])
+    k, narrow = vocabulary.classes, _narrow(vocabulary.classes)
     spark = encoded.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocabulary.n * kind.itemsize // BUCKET_BYTES))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocabulary.n * 8 // BUCKET_BYTES))
     shared = spark.sparkContext.broadcast((vocabulary.h, classes, *affinity(t)))
     group = 1 + vocabulary.words
 
@@ -339,40 +347,61 @@ def lexicon(encoded: DataFrame, vocabulary: Vocabulary, classes: np.ndarray, t:
         h, b, a = (np.concatenate(x) for x in zip(*held, strict=True))
         at, inverse = bk.distinct(h)
         key, n = np.unique((inverse * k + b) * k + a, return_counts=True)
-        out = np.empty(len(key), kind)
-        out["h"], out["b"], out["a"], out["n"] = h[at][key // (k * k)], key // k % k, key % k, n
-        bucket = (out["h"] >> np.uint64(20)) % np.uint64(buckets)
+        word = key // (k * k)
+        h, size = h[at], np.bincount(word, minlength=len(at))
+        # Words by bucket, and their occurrences in the order of the words.
+        bucket = (h >> np.uint64(20)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
-        out, cuts = out[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        begin, cuts = np.cumsum(size) - size, np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = np.repeat(begin[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(len(key))
+        edge = np.concatenate([[0], np.cumsum(size[order])])
+        b, a, n = (key // k % k)[rows].astype(narrow), (key % k)[rows].astype(narrow), n[rows].astype(np.uint32)
         some = np.flatnonzero(np.diff(cuts)).tolist()
         for lo in range(0, len(some), 16):
-            data = [bk.pack_columns(out[cuts[i] : cuts[i + 1]]) for i in some[lo : lo + 16]]
+            data = []
+            for i in some[lo : lo + 16]:
+                own, part = order[cuts[i] : cuts[i + 1]], slice(edge[cuts[i]], edge[cuts[i + 1]])
+                data.append(b"".join(x.tobytes() for x in (np.array([len(own), part.stop - part.start], np.int64), h[own], size[own].astype(np.uint32), b[part], a[part], n[part])))
             yield pa.RecordBatch.from_arrays([pa.array(some[lo : lo + 16], pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
+    def read(blob: bytes) -> tuple[np.ndarray, ...]:
+        words, rows = np.frombuffer(blob, np.int64, 2).tolist()
+        at, out = 16, []
+        for kind, count in ((np.uint64, words), (np.uint32, words), (narrow, rows), (narrow, rows), (np.uint32, rows)):
+            out.append(np.frombuffer(blob, kind, count, at))
+            at += out[-1].nbytes
+        return np.repeat(out[0], out[1]), *out[2:]
+
     def choose(table: pa.Table) -> pa.Table:
         _, _, before, after = shared.value
-        a = bk.unpack_columns(table.column("data").to_pylist(), kind)
-        a = a[np.argsort(a["h"], kind="stable")]
-        new = np.ones(len(a), bool)
-        new[1:] = a["h"][1:] != a["h"][:-1]
+        h, b, a, n = (np.concatenate(x) for x in zip(*map(read, table.column("data").to_pylist()), strict=True))
+        order = np.argsort(h, kind="stable")
+        h, b, a, n = (x[order] for x in (h, b, a, n))
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
         begin = np.flatnonzero(new)
-        c = np.add.reduceat(a["n"].astype(np.int64), begin)
+        c = np.add.reduceat(n.astype(np.int64), begin)
         best, step = np.empty(len(begin), np.int32), max(1, BLOCK_BYTES // (8 * k))
-        edge = np.append(begin, len(a))
+        edge = np.append(begin, len(h))
         for lo in range(0, len(begin), step):
             hi = min(lo + step, len(begin))
             rows = slice(edge[lo], edge[hi])
             word = np.repeat(np.arange(hi - lo), np.diff(edge[lo : hi + 1])) * k
-            fit = np.bincount(word + a["b"][rows], a["n"][rows], (hi - lo) * k).reshape(-1, k) @ before
-            fit += np.bincount(word + a["a"][rows], a["n"][rows], (hi - lo) * k).reshape(-1, k) @ after
+            fit = np.bincount(word + b[rows], n[rows], (hi - lo) * k).reshape(-1, k) @ before
+            fit += np.bincount(word + a[rows], n[rows], (hi - lo) * k).reshape(-1, k) @ after
             best[lo:hi] = fit.argmax(1)
         best[c < MIN_COUNT] = -1
-        return pa.table({"h": pa.array(bk.as_long(np.ascontiguousarray(a["h"][begin]))), "cls": pa.array(best), "c": pa.array(c)})
+        return pa.table({"h": pa.array(bk.as_long(h[begin])), "cls": pa.array(best), "c": pa.array(c)})
 
     sent = encoded.where(~F.col("held_out")).select("seq", "more", "rare").mapInArrow(send, "bucket int, data binary")
     return sent.groupBy("bucket").applyInArrow(lambda t: choose(t), LEXICON)
 
 
+def _narrow(k: int) -> type:
+    """The kind of number that holds a class, or that a class is not known yet."""
+    return np.uint8 if k < 256 else np.uint16
+
+
 def _words(part: pa.RecordBatch, grouped: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the tokens that are a group's item."""
     at = np.flatnonzero(grouped)
@@ -388,13 +417,14 @@ def _words(part: pa.RecordBatch, grouped: np.ndarray, first: np.ndarray, known:
     return at, out
 
 
+RESOLVED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, emitted double, seq binary, places binary, groups binary, n_rare int"
 CLASSED = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, emitted double, seq binary"
 
 
 def classed(encoded: DataFrame, vocabulary: Vocabulary, classes: np.ndarray, words: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """Class sequences of all documents, complete sums over counts, and log10 of the words within their classes; and the sizes of the classes."""
-    k, n = vocabulary.classes, vocabulary.n
-    known = words.where((F.col("c") * KNOWN_SHARE >= n)).toArrow()
+    k, narrow = vocabulary.classes, _narrow(vocabulary.classes)
+    known = words.where(is_known(vocabulary.n)).toArrow()
     own_class = np.full(len(vocabulary.h) + 1, -1, np.int32)
     if known.num_rows:
         own_class[np.searchsorted(vocabulary.h, known.column("h").to_numpy().view(np.uint64))] = known.column("cls").to_numpy()
@@ -403,60 +433,78 @@ def classed(encoded: DataFrame, vocabulary: Vocabulary, classes: np.ndarray, wor
     size = np.bincount(classes, weight, k)
     size[chosen.column("cls").to_numpy()] += chosen.column("n").to_numpy()
     group = 1 + vocabulary.words
-    inside = np.log10(weight[group:]) - np.log10(vocabulary.weight[group:] + vocabulary.tail_v + 1)
-    shared = encoded.sparkSession.sparkContext.broadcast((own_class, np.append(vocabulary.c, 0), classes, weight, np.log10(np.maximum(size, 1e-300)), inside))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_class, counts, classes, weight, size, inside = shared.value
+    # log10 of an unseen word of a group, within the group's class.
+    unseen = np.log10(weight[group:]) - np.log10(vocabulary.weight[group:] + vocabulary.tail_v + 1)
+    shared = encoded.sparkSession.sparkContext.broadcast((own_class, np.append(vocabulary.c, 0), classes, weight, np.log10(np.maximum(size, 1e-300)), unseen))
+    pieces = lambda x, cuts: pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All but the rare words, which count as unseen ones for now."""
+        own_class, counts, classes, weight, size, unseen = shared.value
         for batch in batches:
             for part in bk.slices(batch, "seq", SEQUENCE_BYTES):
                 item, _, first = _sequences(part)
-                cls, c = classes[item], weight[item]
                 at = np.flatnonzero(item >= group)
                 more = bk.flat(part.column("more"))[0].view(np.int32)
-                doc = bk.owner(first)
-                length = part.column("n_rare").to_numpy()
-                base = np.cumsum(length) - length
-                found = part.column("found")
-                rare_class, rare_count = np.full(int(length.sum()), -1, np.int32), np.zeros(int(length.sum()), np.int64)
-                hits = found.flatten()
-                row = np.repeat(np.arange(part.num_rows), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                where = base[row] + hits.field("j").to_numpy()
-                rare_class[where], rare_count[where] = hits.field("cls").to_numpy(), hits.field("c").to_numpy()
-                seen = more >= 0
-                to = base[doc[at[~seen]]] - 1 - more[~seen]
                 own, count = own_class[np.maximum(more, -1)], counts[np.maximum(more, -1)]
-                own[~seen], count[~seen] = rare_class[to], rare_count[to]
                 some = own >= 0
+                cls, logs = classes[item], np.log10(weight[item])
                 cls[at[some]] = own[some]
-                logs = np.log10(c)
-                logs[at] = np.where(some, np.log10(np.maximum(count, 1)), np.log10(count + 1.0) + inside[item[at] - group])
-                total = lambda x: np.add.reduceat(x, first[:-1])  # noqa: B023, E731
-                extra, hit = np.zeros(len(item)), np.zeros(len(item), np.int64)
-                extra[at[~seen]], hit[at[~seen]] = np.log10(count[~seen] + 1.0), count[~seen] > 0
-                seq = cls.astype(np.uint16)
+                logs[at] = np.where(some, np.log10(np.maximum(count, 1)), np.log10(count + 1.0) + unseen[item[at] - group])
+                emitted = np.add.reduceat(logs - size[cls], first[:-1])
+                rare = at[more < 0]
+                cls[rare] = k
+                cut = np.searchsorted(rare, first)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("rid", "doc_id", "held_out", "n_tokens", "n_known", "logs")), pa.array(emitted), pieces(cls.astype(narrow), first), pieces(-1 - more[more < 0], cut), pieces((item[rare] - group).astype(np.uint16), cut), part.column("n_rare")],
+                    [x.split()[0] for x in RESOLVED.split(", ")],
+                )
+
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, classes, _, size, unseen = shared.value
+        for batch in batches:
+            for part in bk.slices(batch, "seq", SEQUENCE_BYTES):
+                cls, _, first = _sequences(part, narrow)
+                at = np.flatnonzero(cls == k)
+                places, groups = bk.flat(part.column("places"))[0].view(np.int32), bk.flat(part.column("groups"))[0].view(np.uint16).astype(np.int64)
+                length = part.column("n_rare").to_numpy().astype(np.int64)
+                base = np.cumsum(length) - length
+                hits = part.column("found")
+                x, row = hits.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(part.num_rows), hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                where = base[row] + (x >> (COUNT_BITS + CLASS_BITS))
+                own_class, own_count = np.full(int(length.sum()), -1), np.zeros(int(length.sum()), np.int64)
+                own_class[where], own_count[where] = (x >> COUNT_BITS & (1 << CLASS_BITS) - 1) - 1, x & (1 << COUNT_BITS) - 1
+                doc = np.searchsorted(first, at, "right") - 1
+                own, count = own_class[base[doc] + places], own_count[base[doc] + places]
+                default = classes[group + groups]
+                some = own >= 0
+                cls[at] = np.where(some, own, default)
+                more = np.where(some, np.log10(np.maximum(count, 1)) - size[own] - unseen[groups] + size[default], np.log10(count + 1.0))
+                total = lambda y: np.bincount(doc, y, part.num_rows)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), part.column("held_out"), part.column("n_tokens"), pa.array(part.column("n_known").to_numpy() + total(hit)), pa.array(part.column("logs").to_numpy() + total(extra)), pa.array(total(logs - size[cls])),
-                        pa.array([seq[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary()),
+                        *(part.column(c) for c in ("doc_id", "held_out", "n_tokens")), pa.array(part.column("n_known").to_numpy() + total(count > 0).astype(np.int64)), pa.array(part.column("logs").to_numpy() + total(np.log10(count + 1.0))),
+                        pa.array(part.column("emitted").to_numpy() + total(more)), pieces(cls.astype(narrow), first),
                     ],
                     [x.split()[0] for x in CLASSED.split(", ")],
                 )
 
     asked = encoded.select("rid", F.posexplode("rare").alias("j", "h"))
-    found = asked.join(words.where(F.col("c") * KNOWN_SHARE < n), "h").groupBy("rid").agg(F.collect_list(F.struct("j", "cls", "c")).alias("found"))
-    rows = encoded.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "seq", "more", F.size("rare").alias("n_rare")).join(found, "rid", "left").drop("rid")
-    return rows.mapInArrow(run, CLASSED), size
+    packed = F.shiftleft(F.col("j").cast("long"), COUNT_BITS + CLASS_BITS) + F.shiftleft((F.col("cls") + 1).cast("long"), COUNT_BITS) + F.col("c")
+    found = asked.join(words.where(~is_known(vocabulary.n)), "h").groupBy("rid").agg(F.collect_list(packed).alias("found"))
+    rows = encoded.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "seq", "more", F.size("rare").alias("n_rare")).mapInArrow(resolve, RESOLVED)
+    return rows.join(found, "rid", "left").drop("rid").mapInArrow(complete, CLASSED), size
 
 
 def steps(sequences: DataFrame, k: int) -> np.ndarray:
     """Class transition counts over all training documents."""
+    narrow = _narrow(k)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(k * k, np.int64)
         for batch in batches:
             for part in bk.slices(batch, "seq", SEQUENCE_BYTES):
-                cls, before, _ = _sequences(part)
+                cls, before, _ = _sequences(part, narrow)
                 out += np.bincount(before * k + cls, minlength=k * k)
         yield from _blocks(out)
 
@@ -481,14 +529,14 @@ class Model:
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; and perplexity by token."""
     model = Model(docs)
-    vocab = model.vocabulary
+    vocab, narrow = model.vocabulary, _narrow(model.vocabulary.classes)
     shared = docs.sparkSession.sparkContext.broadcast(model.transition)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transition = shared.value
         for batch in batches:
             for part in bk.slices(batch, "seq", SEQUENCE_BYTES):
-                cls, before, first = _sequences(part)
+                cls, before, first = _sequences(part, narrow)
                 x = np.add.reduceat(transition[before, cls], first[:-1]) + part.column("emitted").to_numpy()
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "logs")), pa.array(x)], ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
 
