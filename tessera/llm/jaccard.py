@@ -17,14 +17,16 @@ documents link when their sets' Jaccard similarity is at least 4/5.
    or, where the combinations would be too many, by single tokens.  Whoever
    meets there is joined to the key's smallest class, not to all others.
 5. Connected candidates are verified on whole sets, by intersection counts in
-   blocks of ``BLOCK`` classes; a large candidate group becomes many block pairs.
+   blocks of ``BLOCK`` classes, or fewer with ``BLOCK_TOKENS`` tokens; a large
+   candidate group becomes many block pairs.
    Only sums and spanning links leave a block, so no list of pairs within a
    group is ever made, and nothing is capped.
 
 Results are one row per document: links are counted for every other document,
 copies included.
 
-Cases: null or empty texts have an empty set and no links; fewer than five
+Cases: very long texts need memory in proportion to one text; a pair at exactly
+4/5 links; null or empty texts have an empty set and no links; fewer than five
 words make one shingle; rows that repeat an id count as documents of their own
 and a class is named by its smallest id; null ids come last in that; an empty
 table gives an empty result; extra columns are ignored or carried.
@@ -45,8 +47,10 @@ from .shared import materialize
 
 SHINGLE = 5
 COMBINE, RARE, COMBINATIONS, BLOCK = 16, 16, 2_000, 1_024
-#: Small groups share a verification task, about this many classes in each.
-TASK = 1_024
+#: Tokens of a block, at most, unless one class alone has more.
+BLOCK_TOKENS = 4 << 20
+#: Small groups share a verification task, about this many classes and tokens in each.
+TASK, TASK_TOKENS = 1_024, 2 << 20
 FILTER_BITS = 1 << 24
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -232,19 +236,20 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows (doc_id, text and any longs), and (cls, n_similar, component_id, root) of the classes; root tells components apart."""
     own = materialize(sets(docs), "shingle-sets")
     some = own.where("n > 0")
-    classes = some.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = some.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
     edges = candidates(some.groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     groups = components(edges)
 
-    members = materialize(groups.join(classes, F.col("node") == F.col("cls")).select("cls", "root", "rep", "copies"), "members")
-    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    members = materialize(groups.join(classes, F.col("node") == F.col("cls")).select("cls", "root", "rep", "copies", "n"), "members")
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
     reps = members.select(F.col("rep").alias("x")).distinct()
     whole = _whole_sets(docs, reps).groupBy("cls").agg(F.first("tokens").alias("tokens"))
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     placed = members.join(sizes, "root").withColumn("block", block)
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     placed = placed.select("cls", "root", "copies", "block", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    n_small = max(1, members.count() // TASK)
+    count, total = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_small = max(1, count // TASK, total // TASK_TOKENS)
     bucket = F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(n_small)))
     tasks = placed.withColumn("bucket", bucket).join(whole, "cls").drop("blocks")
     schema = "cls long, linked long, first long"
