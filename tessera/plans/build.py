@@ -193,10 +193,10 @@ def _sums(assigned: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.nda
         for b in batches:
             if not b.num_rows:
                 continue
-            x, cid = _matrix(b.column("emb")), b.column("cid").to_numpy()
+            x, cid, weight = _matrix(b.column("emb")), b.column("cid").to_numpy(), b.column("weight").to_numpy()
             order = np.argsort(cid, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(cid[order]) > 0])
-            own, n, total = cid[order][first], np.diff(np.r_[first, len(cid)]), np.add.reduceat(x[order], first)
+            own, n, total = cid[order][first], np.add.reduceat(weight[order], first), np.add.reduceat((x * weight[:, None])[order], first)
             for block in np.unique(own // SUM_CELLS).tolist():
                 at = own // SUM_CELLS == block
                 if block not in held:
@@ -211,7 +211,7 @@ def _sums(assigned: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.nda
         total = sum(np.frombuffer(x, np.float64) for x in table.column("total").to_pylist())
         return pa.table({"block": table.column("block").slice(0, 1), "n": pa.array([n.tobytes()], pa.binary()), "total": pa.array([total.tobytes()], pa.binary())})
 
-    parts = assigned.select("cid", "emb").mapInArrow(run, SUMS)
+    parts = assigned.select("cid", "emb", "weight").mapInArrow(run, SUMS)
     tasks = parts.rdd.getNumPartitions()
     if tasks > 64:
         # In two steps, so that no more than some dozens of a block meet at once.
@@ -229,17 +229,23 @@ def _centroid_frame(spark: SparkSession, m: np.ndarray) -> DataFrame:
 
 
 def kmeans(tokens: DataFrame, cells: int, iterations: int = 4, seed: int = 123) -> DataFrame:
-    """Spherical k-means by Lloyd's steps; an emptied cell keeps its centroid."""
+    """Spherical k-means by Lloyd's steps; an emptied cell keeps its centroid.  A column ``weight`` says how many tokens a row stands for."""
+    weight = F.col("weight") if "weight" in tokens.columns else F.lit(1).cast("long").alias("weight")
     start = tokens.orderBy(F.xxhash64("pid", "pos", F.lit(seed)), "pid", "pos").limit(cells).select("emb").toArrow()
     m = _matrix(start.column("emb").combine_chunks())
     for _ in range(iterations):
-        cid, n, total = _sums(assign(tokens.select("pid", "pos", "emb"), _centroid_frame(tokens.sparkSession, m)), m.shape[1])
+        cid, n, total = _sums(assign(tokens.select("pid", "pos", "emb", weight), _centroid_frame(tokens.sparkSession, m)), m.shape[1])
         m = m.copy()
         m[cid] = total / n[:, None]
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     return _centroid_frame(tokens.sparkSession, m)
 
 
+def distinct_vectors(tokens: DataFrame) -> DataFrame:
+    """(pid, pos, emb, weight): each different vector once, named by its hash, with the number of its tokens."""
+    return tokens.groupBy(F.xxhash64("emb").alias("pid")).agg(F.first("emb").alias("emb"), F.count(F.lit(1)).alias("weight")).select("pid", F.lit(0).alias("pos"), "emb", "weight")
+
+
 class Index:
     """The tables of an index, built in memory or read from a folder."""
 
@@ -247,24 +253,30 @@ class Index:
         self.centroids, self.codec, self.index, self.cells, self.meta = centroids, codec, index, cells, meta
 
     @classmethod
-    def build(cls, tokens: DataFrame, nbits: int = 4, centroids: DataFrame | None = None, cells: int | None = None, iterations: int = 4, seed: int = 123, heldout: bool | None = None, codec: DataFrame | None = None) -> Index:
-        """heldout: whether the codec is trained on held-out tokens alone; by default where the cells are trained too, unless there are few tokens."""
+    def build(cls, tokens: DataFrame, nbits: int = 4, centroids: DataFrame | None = None, cells: int | None = None, iterations: int = 4, seed: int = 123, heldout: bool | None = None, codec: DataFrame | None = None, repeats: bool = False) -> Index:
+        """heldout: whether the codec is trained on held-out tokens alone; by default where the cells are trained too, unless there are few tokens.
+
+        repeats: for encoders that give a word the same vector everywhere; each different vector is then clustered and assigned once.
+        """
         passages, n = tokens.agg(F.count_distinct("pid"), F.count(F.lit(1))).first()
-        given = centroids is not None
-        if not given:
+        heldout = n >= HELDOUT_FROM and centroids is None if heldout is None else heldout
+        vectors = distinct_vectors(tokens).persist(StorageLevel.MEMORY_AND_DISK) if repeats else tokens
+        if centroids is None:
             picked = sample_pids(tokens, sample_size(passages), seed)
             sample = tokens.join(picked, "pid", "left_semi")
+            sample = distinct_vectors(sample).persist(StorageLevel.MEMORY_AND_DISK) if repeats else sample
             cells = cells or min(number_of_cells(passages, n / max(1, passages)), n)
             centroids = kmeans(sample, cells, iterations, seed)
-        res = residuals(assign(tokens, centroids), centroids)
-        heldout = n >= HELDOUT_FROM and not given if heldout is None else heldout
+        res = residuals(assign(vectors, centroids), centroids)
+        named = tokens.select("pid", "pos", F.xxhash64("emb").alias("v"))
+        spread = lambda r: named.join(r.withColumnRenamed("pid", "v").drop("pos", "weight"), "v").drop("v") if repeats else r
         if codec is None:
-            trained = split_heldout(res, seed=seed).where("heldout") if heldout else res
-            codec = train_codec(trained, nbits)
+            whole = spread(res)
+            codec = train_codec(split_heldout(whole, seed=seed).where("heldout") if heldout else whole, nbits)
         values = codec_values(codec)
         codec = tokens.sparkSession.createDataFrame([(values[0], values[1], values[2])], "nbits int, cutoffs array<double>, weights array<double>")
         # Cells and search both read it; what memory cannot hold goes to disk, what is lost is built again.
-        index = compress(res, codec).select("cid", "pid", "pos", "codes").persist(StorageLevel.MEMORY_AND_DISK)
+        index = spread(compress(res, codec)).select("cid", "pid", "pos", "codes").persist(StorageLevel.MEMORY_AND_DISK)
         return cls(centroids, codec, index, cell_sizes(index, centroids), {"num_passages": passages, "num_embeddings": n, "avg_doclen": n / max(1, passages), "nbits": nbits})
 
     def write(self, path: str, mode: str = "errorifexists", keep: bool = False) -> Index:

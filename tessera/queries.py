@@ -133,7 +133,7 @@ def _hash_search(spark: SparkSession, d: str) -> DataFrame:
     # codec's quantiles are exact, so they are those of the held-out tokens.
     c = Config()
     tokens = enc(docs, None).select(F.col("id").alias("pid"), "pos", "emb").persist(StorageLevel.MEMORY_AND_DISK)
-    index = Index.build(tokens, c.nbits, iterations=c.kmeans_iters, heldout=True)
+    index = Index.build(tokens, c.nbits, iterations=c.kmeans_iters, heldout=True, repeats=True)
     bound = min(c.bound, index.cells.count())
     # All cells within the bound are probed, and a word that misses a document counts as the last of them:
     # the default of t_prime, 1 in a small index, would count it as the best, above what was found.
