@@ -415,6 +415,13 @@ def test_jaccard(odd, limits, monkeypatch):
     assert max(x[1] for x in want.values()) > 5
 
 
+def test_jaccard_in_blocks_of_few_tokens(odd, monkeypatch):
+    """A group is cut by the size of its sets as well as by their number."""
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(jaccard, "TASK_TOKENS", 300)
+    assert {i: tuple(r)[1:] for i, r in by_id(jaccard.similar(odd)).items()} == brute_similar(texts(odd))
+
+
 def test_keep_one_keeps_one_row_of_each_group(spark, odd, tmp_path):
     """Rows, not ids: repeated rows, null ids, and two texts under one id."""
     base, other = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
@@ -528,6 +535,32 @@ def test_null_ids_repeats_and_clashing_names(clashing, bench, op):
     assert REPORTS[op](odd_rows, bench).count() == 24
 
 
+def test_slices_of_a_batch_do_not_show(odd, bench, monkeypatch):
+    """Texts above and below the size of a slice, a slice a text: the same rows."""
+    from tessera.llm import bytekit
+
+    want = {op: sorted(map(str, REPORTS[op](odd, bench).drop("perplexity", "score", "base_score").collect())) for op in (1, 3, 4, 5, 8, 9)}
+    monkeypatch.setattr(bytekit, "SLICE_BYTES", 700)
+    for op, rows in want.items():
+        assert sorted(map(str, REPORTS[op](odd, bench).drop("perplexity", "score", "base_score").collect())) == rows, op
+
+
+def test_repeated_rows_and_null_ids_have_the_values_of_one(odd, bench):
+    """Where a row is judged by itself, copies and a missing id change nothing but the id."""
+    few = odd.where("doc_id IN (3, 41, 62, 70, 76, 78)")
+    many = few.unionAll(few).unionAll(few.withColumn("doc_id", F.lit(None).cast("long")))
+    for op, columns in ((5, ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]), (7, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]), (10, ["n_assign", "n_access", "n_hex", "base_sha256", "spans"])):
+        one, got = (Counter(tuple(r[c] for c in columns) for r in REPORTS[op](d, bench).collect()) for d in (few, many))
+        assert got == Counter({k: 3 * n for k, n in one.items()}), op
+    same = jaccard.similar(many).collect()
+    assert all(r.n_similar >= 2 for r in same if r.n_shingles) and len(same) == 18
+
+
+def test_quality_report_can_be_filtered(odd):
+    r = quality.quality_report(odd)
+    assert r.where("kept").count() + r.where("NOT kept").count() == odd.count()
+
+
 @pytest.mark.parametrize("stage", [quality.keep_good, jaccard.keep_one, lines.dedup_lines, mixing.mix, lambda d: decontaminate.decontaminate(d, d.select(F.col("doc_id").alias("item_id"), "text").limit(0))])
 def test_stages_keep_columns(clashing, stage):
     out = stage(clashing)
