@@ -191,7 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vec_dot": lambda s, d: _pairs(s, d).select("qid", "pid", F.round(V.dot("a", "b"), 4).alias("x")),
     "topk_nearest_4bit": lambda s, d: _nearest(s, d, 4),
     "topk_nearest_2bit": lambda s, d: _nearest(s, d, 2),
-    "vec_dot_all": lambda s, d: _all_pairs(s, d).select("qid", "t", "pid", "pos", F.round(V.dot("a", "b"), 4).alias("x")),
+    "vec_dot_all": lambda s, d: _all_pairs(s, d).select("qid", "t", "pid", "pos", (F.round(V.dot("a", "b"), 4) + 0.0).alias("x")),
     "vec_l2_dist_all": lambda s, d: _all_pairs(s, d).select("qid", "t", "pid", "pos", F.round(V.l2_distance("a", "b"), 4).alias("x")),
     "vec_l2norm": lambda s, d: doc_tokens(s, d).select("pid", "pos", F.round(V.l2_norm("emb"), 4).alias("x")),
     "vec_l2_dist": lambda s, d: _pairs(s, d).select("qid", "pid", F.round(V.l2_distance("a", "b"), 4).alias("x")),
@@ -298,7 +298,7 @@ ORACLES: dict[str, str] = {
     "topk_2bit": _search_sql(2),
     "topk_4bit_sql": _search_sql(4),
     "vec_dot": _with(_Q, _D, _PAIR) + "SELECT qid, pid, round(list_inner_product(a, b), 4) AS x FROM p",
-    "vec_dot_all": _with(_Q, _D) + "SELECT qid, t, pid, pos, round(list_inner_product(q.e, d.e), 4) AS x FROM q, d",
+    "vec_dot_all": _with(_Q, _D) + "SELECT qid, t, pid, pos, round(list_inner_product(q.e, d.e), 4) + 0.0 AS x FROM q, d",
     "vec_l2_dist_all": _with(_Q, _D) + "SELECT qid, t, pid, pos, round(list_distance(q.e, d.e), 4) AS x FROM q, d",
     "vec_l2norm": _with(_D) + "SELECT pid, pos, round(sqrt(list_inner_product(e, e)), 4) AS x FROM d",
     "vec_l2_dist": _with(_Q, _D, _PAIR) + "SELECT qid, pid, round(list_distance(a, b), 4) AS x FROM p",
