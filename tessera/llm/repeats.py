@@ -53,11 +53,11 @@ from .shared import materialize
 
 LENGTH, GRAM = 100, 32
 NO_ID = -(2**63)
-FLUSH, FLUSH_BYTES = 1_000_000, 16 << 20
+FLUSH, FLUSH_BYTES = 500_000, 8 << 20
 #: Bytes of text, and of parts, that a bucket is meant to hold the seeds or the bytes of.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 #: Bytes of parts that are transformed at once; below 2**21, for a position has 21 bits.
-BATCH = 1 << 19
+BATCH = 1 << 18
 MANY = 64
 SEP = 0xFF
 
