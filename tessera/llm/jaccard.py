@@ -16,7 +16,11 @@ documents link when their sets' Jaccard similarity is at least 4/5.
    many are indexed by combinations of two among the rarest m - k + 2 of them,
    or, where the combinations would be too many, by single tokens.  Whoever
    meets there is joined to the key's smallest class, not to all others.
-5. Connected candidates are verified on whole sets, by intersection counts in
+5. Boilerplate can chain many classes into one candidate group.  A group of more
+   than a block is taken apart by its whole sets: a class whose tokens that others
+   of such groups have too are fewer than any partner shares drops out, and the
+   rest is joined again by the rarest tokens, of which partners share one.
+6. Connected candidates are verified on whole sets, by intersection counts in
    blocks of ``BLOCK`` classes, or fewer with ``BLOCK_TOKENS`` tokens; a large
    candidate group becomes many block pairs.
    Only sums and spanning links leave a block, so no list of pairs within a
@@ -34,7 +38,7 @@ table gives an empty result; extra columns are ignored or carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +52,13 @@ from .shared import materialize
 SHINGLE = 5
 COMBINE, RARE, COMBINATIONS, BLOCK = 16, 16, 2_000, 1_024
 #: Tokens of a block, at most, unless one class alone has more.
-BLOCK_TOKENS = 4 << 20
+BLOCK_TOKENS = 1 << 20
 #: Small groups share a verification task, about this many classes and tokens in each.
-TASK, TASK_TOKENS = 1_024, 2 << 20
+TASK, TASK_TOKENS = 1_024, 1 << 19
+#: Bytes of text that are hashed at once, unless one text is longer.
+SLICE = 1 << 19
+#: Index keys in a batch, about, and shared tokens that are multiplied at once.
+KEY_TOKENS, WIDE = 1 << 17, 1_024
 FILTER_BITS = 1 << 24
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -79,13 +87,19 @@ def class_of(tokens: np.ndarray) -> int:
         return int(bk.as_long(bk.mix(np.array([total], np.uint64)))[0])
 
 
+def _lists(tokens: list[np.ndarray]) -> pa.ListArray:
+    """One list of longs for each array of tokens."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(bk.as_long(np.concatenate(tokens))))
+
+
 def sets(docs: DataFrame) -> DataFrame:
     """cls, n, prefix, and all columns but the text: the extended prefix of each set, in hash order."""
     carried = [c for c in docs.columns if c != "text"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bk.slices(batch):
+            for part in bk.slices(batch, limit=SLICE):
                 cls, n, kept = [], [], []
                 for tokens in shingle_sets(part.column("text")):
                     size = len(tokens)
@@ -93,9 +107,7 @@ def sets(docs: DataFrame) -> DataFrame:
                     cls.append(class_of(tokens))
                     n.append(size)
                     kept.append(tokens[: size - t + min(COMBINE, t)])
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bk.as_long(np.concatenate(kept))))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), prefix], [*carried, "cls", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), _lists(kept)], [*carried, "cls", "n", "prefix"])
 
     return docs.mapInArrow(build, ", ".join(f"{c} long" for c in carried) + ", cls long, n long, prefix array<long>")
 
@@ -105,29 +117,43 @@ def _required(n: Column) -> Column:
     return F.least(F.lit(COMBINE).cast("long"), least_overlap(least_overlap(n)))
 
 
-def _common(rows: DataFrame, name: str) -> DataFrame:
+def _common(rows: DataFrame, name: str, required: Callable[[Column], Column] = _required) -> DataFrame:
     """(token, cls, n) to one row per class that can have a partner: cls, n, toks (c, token), c >= 2."""
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     kept = rows.join(counts, "token").groupBy("cls").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "token"))).alias("toks"))
-    return materialize(kept.where(F.size("toks") >= _required(F.col("n"))), name)
+    return materialize(kept.where(F.size("toks") >= required(F.col("n"))), name)
 
 
 def _frequent_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index keys of classes by their frequent tokens (rarest first): kind 0 combinations, 1 single, 2 single and anchoring."""
+    whose, keys, kinds, held = [], [], [], 0
+
+    def portion() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(whose)), pa.array(bk.as_long(np.concatenate(keys))), pa.array(np.concatenate(kinds))], ["cls", "key", "kind"])
+
     for batch in batches:
-        for cls, need, toks in zip(*(batch.column(c).to_pylist() for c in ("cls", "need", "frequent")), strict=True):
-            tokens = np.array(toks, np.int64).view(np.uint64)
+        lists = batch.column("frequent")
+        values, offsets = lists.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+        for at, (cls, need) in enumerate(zip(batch.column("cls").to_pylist(), batch.column("need").to_pylist(), strict=True)):
+            tokens = values[offsets[at] : offsets[at + 1]]
             one = tokens[: len(tokens) - need + 1]
             p = len(tokens) - need + 2
             short = need >= 2 and p * (p - 1) // 2 <= COMBINATIONS
-            keys, kinds = [one], [np.full(len(one), 1 if short else 2, np.int8)]
+            keys.append(one)
+            kinds.append(np.full(len(one), 1 if short else 2, np.int8))
             if short:
                 i, j = np.triu_indices(p, 1)
                 a, b = np.minimum(tokens[i], tokens[j]), np.maximum(tokens[i], tokens[j])
                 keys.append(bk.mix(bk.mix(a) + b))
                 kinds.append(np.zeros(len(i), np.int8))
-            key, kind = np.concatenate(keys), np.concatenate(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), cls)), pa.array(bk.as_long(key)), pa.array(kind)], ["cls", "key", "kind"])
+            n = len(one) + (len(i) if short else 0)
+            whose.append(np.full(n, cls, np.int64))
+            held += n
+            if held >= KEY_TOKENS:
+                yield portion()
+                whose, keys, kinds, held = [], [], [], 0
+    if held:
+        yield portion()
 
 
 def candidates(prefixes: DataFrame) -> DataFrame:
@@ -153,21 +179,38 @@ def candidates(prefixes: DataFrame) -> DataFrame:
     return edges
 
 
+def _of_whole(n: Column) -> Column:
+    """Tokens that a set of n must share with any partner, whose own share of it counts as well."""
+    return least_overlap(n)
+
+
+def _apart(whole: DataFrame) -> DataFrame:
+    """(cls, n, tokens), whole sets of classes, to edges (u, v) whose components hold every link among them."""
+    rows = whole.select(F.explode("tokens").alias("token"), "cls", "n")
+    few = _common(rows, "whole-1", _of_whole)
+    few = _common(few.select(F.explode("toks.token").alias("token"), "cls", "n"), "whole-2", _of_whole)
+    spare = (F.size("toks") - _of_whole(F.col("n")) + 1).cast("int")
+    keys = materialize(few.select("cls", F.explode(F.slice("toks.token", F.lit(1), spare)).alias("key")), "whole-keys")
+    least = keys.groupBy("key").agg(F.min("cls").alias("v"))
+    return keys.join(least, "key").where("cls <> v").select(F.col("cls").alias("u"), "v").distinct()
+
+
 def _links(sizes: np.ndarray, tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Which members link: a boolean matrix, true only between ``left`` and ``right`` members."""
     flat = np.concatenate(tokens)
-    who = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+    who = np.repeat(np.arange(len(tokens), dtype=np.int32), [len(x) for x in tokens])
     _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
     shared = count[at] > 1
-    column = np.cumsum(count > 1)[at[shared]] - 1
+    column = (np.cumsum(count > 1) - 1).astype(np.int32)[at[shared]]
     who = who[shared]
+    del flat, at, count, shared
     both = np.zeros((len(tokens), len(tokens)), np.float32)
     order = np.argsort(column, kind="stable")
     column, who = column[order], who[order]
     wide = int(column[-1]) + 1 if len(column) else 0
-    for lo in range(0, wide, 4096):
-        part = slice(*np.searchsorted(column, [lo, lo + 4096]))
-        m = np.zeros((len(tokens), min(4096, wide - lo)), np.float32)
+    for lo in range(0, wide, WIDE):
+        part = slice(*np.searchsorted(column, [lo, lo + WIDE]))
+        m = np.zeros((len(tokens), min(WIDE, wide - lo)), np.float32)
         m[who[part], column[part] - lo] = 1
         both += m @ m.T
     # 100 both >= 80 (sums - both); the counts are whole numbers that single floats hold exactly.
@@ -190,10 +233,14 @@ def _roots(links: np.ndarray) -> np.ndarray:
 
 def _verify(table: pa.Table) -> pa.Table:
     """All candidate groups of one bucket, or one pair of blocks: linked documents and a spanning link per class."""
-    table = table.sort_by([("root", "ascending"), ("cls", "ascending")])
     root, cls, copies, block, i, j = (table.column(c).to_numpy() for c in ("root", "cls", "copies", "block", "i", "j"))
-    blobs = table.column("tokens").to_pylist()
-    tokens = [np.frombuffer(x, np.uint64) for x in blobs]
+    order = np.lexsort((cls, root))
+    root, cls, copies, block, i, j = (x[order] for x in (root, cls, copies, block, i, j))
+    own = []
+    for chunk in table.column("tokens").chunks:
+        buf, offs = bk.flat(chunk)
+        own += [buf[a:b].view(np.uint64) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+    tokens = [own[x] for x in order.tolist()]
     out = []
     cuts = np.flatnonzero(np.r_[True, root[1:] != root[:-1], True])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -208,8 +255,8 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"cls": pa.array(u, pa.int64()), "linked": pa.array(n, pa.int64()), "first": pa.array(v, pa.int64())})
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, tokens: the whole set, 8 bytes per token, of documents whose id is probably in ``wanted`` (column x).
+def _whole_sets(docs: DataFrame, wanted: DataFrame, kind: str = "binary") -> DataFrame:
+    """cls, tokens: the whole set, 8 bytes per token or as array<long>, of documents whose id is probably in ``wanted`` (column x).
 
     The test is a bitmap of ``FILTER_BITS`` bits, whatever the data: it lets some
     others through, never fewer, and spares a shuffle of the texts.
@@ -225,11 +272,16 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             at = batch.column("bit").to_numpy()
             batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
-            for part in bk.slices(batch):
+            for part in bk.slices(batch, limit=SLICE):
                 own = list(shingle_sets(part.column("text")))
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["cls", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary()) if kind == "binary" else _lists(own)], ["cls", "tokens"])
+
+    return docs.select(bit("doc_id").alias("bit"), "text").mapInArrow(build, f"cls long, tokens {kind}")
+
 
-    return docs.select(bit("doc_id").alias("bit"), "text").mapInArrow(build, "cls long, tokens binary")
+def _blocks(members: DataFrame) -> DataFrame:
+    """root, and the number of blocks of each candidate group."""
+    return members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -241,7 +293,14 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = components(edges)
 
     members = materialize(groups.join(classes, F.col("node") == F.col("cls")).select("cls", "root", "rep", "copies", "n"), "members")
-    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    sizes = _blocks(members)
+    if not sizes.where("blocks > 1").isEmpty():
+        large = members.join(sizes.where("blocks > 1").select("root"), "root")
+        whole = _whole_sets(docs, large.select(F.col("rep").alias("x")).distinct(), "array<long>").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+        parts = components(_apart(large.select("cls", "n").join(whole, "cls")))
+        parts = parts.join(large.drop("root"), F.col("node") == F.col("cls")).select("cls", "root", "rep", "copies", "n")
+        members = materialize(members.join(sizes.where("blocks = 1").select("root"), "root").select(parts.columns).unionAll(parts), "members")
+        sizes = _blocks(members)
     reps = members.select(F.col("rep").alias("x")).distinct()
     whole = _whole_sets(docs, reps).groupBy("cls").agg(F.first("tokens").alias("tokens"))
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")

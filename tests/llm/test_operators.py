@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -422,6 +424,49 @@ def test_jaccard_in_blocks_of_few_tokens(odd, monkeypatch):
     assert {i: tuple(r)[1:] for i, r in by_id(jaccard.similar(odd)).items()} == brute_similar(texts(odd))
 
 
+def test_jaccard_takes_boilerplate_groups_apart(spark, odd, monkeypatch):
+    """Texts that share a passage, but too little to link, aren't verified against each other in blocks."""
+    r = random.Random(5)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage = words(110)
+    own = [words(150) + passage + words(150) for _ in range(40)]
+    near = [[*x[:-1], "other"] for x in own[:5]]
+    docs = spark.createDataFrame([(i, " ".join(x), "en", "a", 1) for i, x in enumerate(own + near)], odd.schema)
+    seen = []
+    plain = jaccard.materialize
+
+    def spy(df, name):
+        out = plain(df, name)
+        if name == "members":
+            seen.append(out.groupBy("root").count().select("count").collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", spy)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    want = brute_similar(texts(docs))
+    assert {i: tuple(x)[1:] for i, x in by_id(jaccard.similar(docs)).items()} == want
+    assert sum(x[1] for x in want.values()) == 10
+    assert seen[0][0][0] > 40 and sorted(x[0] for x in seen[-1]) == [2] * 5
+    assert jaccard.keep_one(docs).count() == 40
+
+
+def test_jaccard_verification_of_full_blocks_is_small():
+    """Two full blocks leave room for a second worker beside a JVM of two thirds of an executor."""
+    rng = np.random.default_rng(1)
+    n = 2 * jaccard.BLOCK_TOKENS // 2_048
+    sets = [np.sort(rng.integers(0, 2**63, 2_048, dtype=np.uint64)) for _ in range(n)]
+    sets[1::2] = [np.sort(np.r_[x[:-10], y[:10]]) for x, y in zip(sets[::2], sets[1::2], strict=True)]
+    block = [k % 2 for k in range(n)]
+    table = pa.table({"cls": pa.array(range(n), pa.int64()), "root": pa.array([7] * n, pa.int64()), "copies": pa.array([1] * n, pa.int64()), "block": pa.array(block, pa.int32()), "i": pa.array([0] * n, pa.int32()), "j": pa.array([1] * n, pa.int32()), "bucket": pa.array([7] * n, pa.int64()), "tokens": pa.array([x.tobytes() for x in sets], pa.binary())})
+    table = pa.concat_tables([table.slice(at, 100) for at in range(0, n, 100)])
+    tracemalloc.start()
+    out = jaccard._verify(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == n
+    assert peak < 160e6
+
+
 def test_keep_one_keeps_one_row_of_each_group(spark, odd, tmp_path):
     """Rows, not ids: repeated rows, null ids, and two texts under one id."""
     base, other = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
