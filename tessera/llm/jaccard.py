@@ -118,8 +118,13 @@ def _required(n: Column) -> Column:
 
 
 def _common(rows: DataFrame, name: str, required: Callable[[Column], Column] = _required) -> DataFrame:
-    """(token, cls, n) to one row per class that can have a partner: cls, n, toks (c, token), c >= 2."""
-    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    """(token, cls, n) to one row per class that can have a partner: cls, n, toks (c, token), c >= 2.
+
+    Counts and join read one exchange: tokens are by far the most that this module shuffles.
+    The counts name all columns, none of which is null, so that both sides plan the same one.
+    """
+    rows = rows.repartition("token")
+    counts = rows.groupBy("token").agg(F.expr("count(cls, n)").alias("c")).where("c > 1")
     kept = rows.join(counts, "token").groupBy("cls").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "token"))).alias("toks"))
     return materialize(kept.where(F.size("toks") >= required(F.col("n"))), name)
 

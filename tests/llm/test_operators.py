@@ -4,16 +4,18 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, graph, html, jaccard, lines, lm, mixing, quality, repeats, secrets, tokens
+from tessera.llm import decontaminate, graph, html, jaccard, lines, lm, mixing, quality, repeats, secrets, shared, tokens
 from tessera.llm.shared import new_path
 
 WS = r"[^\x20\x09-\x0D]+"
@@ -450,6 +452,27 @@ def test_jaccard_takes_boilerplate_groups_apart(spark, odd, monkeypatch):
     assert jaccard.keep_one(docs).count() == 40
 
 
+def test_jaccard_shuffles_tokens_once_and_leaves_no_shuffle_files(spark, monkeypatch):
+    """At several GB, tokens shuffled twice and files of ended queries passed the limit on disk."""
+    rows = spark.range(3_000).select((F.col("id") % 1_000).alias("token"), (F.col("id") % 7).alias("cls"), F.lit(500).cast("long").alias("n"))
+    rows = jaccard.materialize(rows, "x")
+    seen = []
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: seen.append(df) or df)
+    assert {r.cls: len(r.toks) for r in jaccard._common(rows, "x").collect()} == {k: (3_000 - k + 6) // 7 for k in range(7)}
+    seen[0].collect()
+    assert "ReusedExchange" in seen[0]._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.undo()
+
+    where = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {p for d in where for p in Path(d).rglob("shuffle_*.data")}
+    before, conf = files(), spark.conf.get(shared.CLEANUP)
+    assert jaccard.materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")), "x").count() == 1_000
+    until = time.time() + 15
+    while len(left := [p for p in files() - before if p.stat().st_size > 3_000]) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(shared.CLEANUP) == conf
+
+
 def test_jaccard_verification_of_full_blocks_is_small():
     """Two full blocks leave room for a second worker beside a JVM of two thirds of an executor."""
     rng = np.random.default_rng(1)
