@@ -66,13 +66,20 @@ def document_tokens(text: str, limit: int | None = None) -> F.Column:
 
 
 def hashing_encoder(dim: int = 64, tokens: Callable[[str, int | None], F.Column] = plain_tokens) -> Encoder:
-    """Each word a unit vector of signed hashed components: same word, same vector.  ``word`` stays with it, for skip lists."""
+    """Each word a unit vector of signed hashed components: same word, same vector.  ``word`` stays with it, for skip lists.
+
+    ``encode.tokens`` and ``encode.vectors`` are its halves, so that what words share is made once a word.
+    """
+
+    def vectors(toks: DataFrame) -> DataFrame:
+        raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.pmod(F.xxhash64(F.col("word"), i), F.lit(2001)) - 1000) / 1000.0)
+        return toks.withColumn("emb", l2_normalize(raw))
 
     def encode(rows: DataFrame, max_tokens: int | None) -> DataFrame:
         toks = rows.select("id", F.explode(tokens("text", max_tokens)).alias("token")).select("id", "token.pos", "token.word")
-        raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.pmod(F.xxhash64(F.col("word"), i), F.lit(2001)) - 1000) / 1000.0)
-        return toks.select("id", "pos", l2_normalize(raw).alias("emb"), "word")
+        return vectors(toks).select("id", "pos", "emb", "word")
 
+    encode.tokens, encode.vectors = tokens, vectors
     return encode
 
 

@@ -6,15 +6,17 @@ codes), cells (cid, n), codec (one row: nbits, cutoffs, weights, avg_residual).
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..config import number_of_cells, sample_size, t_prime_for
@@ -24,6 +26,8 @@ from ..functions import vectors as V
 CENTROID_BYTES = 64 << 20
 #: Scores of tokens by cells that a task holds at once.
 SCORE_CELLS = 4 << 20
+#: Components that are counted one by one when quantiles are told.
+FEW_VALUES = 1 << 18
 #: Cells whose sums travel together.
 SUM_CELLS = 1024
 #: Tokens from which on a codec is trained on the held-out part alone.
@@ -41,9 +45,9 @@ def sample_pids(passages: DataFrame, n: int, seed: int = 123) -> DataFrame:
     return passages.select("pid").distinct().orderBy(*id_order("pid", seed)).limit(n)
 
 
-def split_heldout(tokens: DataFrame, share: float = 0.05, most: int = 50_000, seed: int = 123) -> DataFrame:
-    """tokens with a flag for the held-out part: a hashed share, so no global order is needed."""
-    n = tokens.count()
+def split_heldout(tokens: DataFrame, share: float = 0.05, most: int = 50_000, seed: int = 123, n: int | None = None) -> DataFrame:
+    """tokens, n in number, with a flag for the held-out part: a hashed share, so no global order is needed."""
+    n = tokens.count() if n is None else n
     share = min(share, most / n) if n else share
     return tokens.withColumn("heldout", F.pmod(F.xxhash64("pid", "pos", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
 
@@ -66,24 +70,46 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
-def assign(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
-    """tokens with ``cid``, the cell of largest dot product (the lowest on ties), by matrix products in the tasks."""
+def best_cells(x: np.ndarray, m: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """For each row the place of the centroid of largest dot product, rounded to 12 digits, the first on ties.
+
+    Products in single precision tell where the best is ahead by more than their error; other rows are multiplied again.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = x.astype(np.float32) @ single.T
+        at = s.argmax(1)
+        rows = np.arange(len(x))
+        top = s[rows, at].astype(np.float64)
+        s[rows, at] = -np.inf
+        error = 2e-7 * (x.shape[1] + 8) * np.linalg.norm(x, axis=1) * np.linalg.norm(m, axis=1).max(initial=0.0) + 2e-12
+        again = np.flatnonzero(~(s.max(1) < top - 2 * error))
+    step = max(1, SCORE_CELLS // len(m))
+    for lo in range(0, len(again), step):
+        own = again[lo : lo + step]
+        at[own] = np.round(x[own] @ m.T, 12).argmax(1)
+    return at
+
+
+def assign(tokens: DataFrame, centroids: DataFrame, sent: list[Broadcast] | None = None) -> DataFrame:
+    """tokens with ``cid``, the cell of largest dot product (the lowest on ties), by matrix products in the tasks.
+
+    sent: gets what was broadcast, for a caller who knows when it is done with, since each stays on the disks of all executors.
+    """
     out = tokens.withColumns({"cid": F.lit(None).cast("long"), "cell_score": F.lit(float("-inf"))})
     for ids, m in matrix_blocks(centroids):
         shared = tokens.sparkSession.sparkContext.broadcast((ids, m))
+        if sent is not None:
+            sent.append(shared)
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             ids, m = shared.value
-            rows = max(1, SCORE_CELLS // len(ids))
+            rows, single = max(1, SCORE_CELLS // len(ids)), m.astype(np.float32)
             for b in batches:
                 if not b.num_rows:
                     continue
                 x = _matrix(b.column("emb"))
-                at, top = np.empty(len(x), np.int64), np.empty(len(x))
-                for lo in range(0, len(x), rows):
-                    s = np.round(x[lo : lo + rows] @ m.T, 12)
-                    at[lo : lo + rows] = s.argmax(1)
-                    top[lo : lo + rows] = s.max(1)
+                at = np.concatenate([best_cells(x[lo : lo + rows], m, single) for lo in range(0, len(x), rows)])
+                top = np.round((x * m[at]).sum(1), 12)
                 old = b.column("cell_score").to_numpy(zero_copy_only=False)
                 old_id = b.column("cid").to_numpy(zero_copy_only=False)
                 new = top > old
@@ -103,18 +129,114 @@ def assign_sql(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
     return best.select(*keys, "emb", "cid")
 
 
-def residuals(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
-    """assigned with ``res``, the token less its centroid."""
-    c = centroids.select("cid", F.col("emb").alias("c_emb"))
-    return assigned.join(c, "cid").withColumn("res", V.sub("emb", "c_emb")).drop("c_emb")
+def _lists(m: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel(), kind))
+
+
+def residuals(assigned: DataFrame, centroids: DataFrame, sent: list[Broadcast] | None = None) -> DataFrame:
+    """assigned with ``res``, the token less its centroid.  sent: as for ``assign``."""
+    out = assigned.withColumn("res", F.array().cast("array<double>"))
+    for ids, m in matrix_blocks(centroids):
+        shared = assigned.sparkSession.sparkContext.broadcast((ids, m))
+        if sent is not None:
+            sent.append(shared)
+
+        def less(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            ids, m = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                cid, column = b.column("cid").to_numpy(), b.schema.get_field_index("res")
+                at = np.minimum(np.searchsorted(ids, cid), len(ids) - 1)
+                here = ids[at] == cid
+                res = _matrix(b.column("emb"))
+                res[here] -= m[at[here]]
+                if len(b.column("res").flatten()):
+                    res[~here] = _matrix(b.column("res"))[~here]
+                yield b.set_column(column, b.schema.field(column), _lists(res))
+
+        out = out.mapInArrow(less, out.schema)
+    return out
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Integers in the order of the numbers; zeros are one, NaN is the largest."""
+    bits = np.where(np.isnan(x), np.nan, x + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(2**63 - 1))
+
+
+def _number(key: int) -> float:
+    key = np.int64(key)
+    return float((key ^ ((key >> np.int64(63)) & np.int64(2**63 - 1))).view(np.float64))
+
+
+def _counts(res: DataFrame, shift: int, within: tuple[int, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, float]:
+    """How many components share the bits above ``shift``, of those whose bits above another place are among the given, in order; and the sum of their sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, int] = {}
+        size = 0.0
+        for b in batches:
+            x = b.column("res").flatten().drop_null().to_numpy(zero_copy_only=False).astype(np.float64)
+            key = _ordered(x)
+            if within is None:
+                size += float(np.abs(x).sum())
+            else:
+                above = key >> np.int64(within[0])
+                at = np.minimum(np.searchsorted(within[1], above), len(within[1]) - 1)
+                key = key[within[1][at] == above]
+            for k, n in zip(*(v.tolist() for v in np.unique(key >> np.int64(shift), return_counts=True)), strict=True):
+                held[k] = held.get(k, 0) + n
+        keys = [*held, 0]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([*held.values(), 0], pa.int64()), pa.array([0.0] * len(held) + [size])], ["key", "n", "size"])
+
+    found = res.mapInArrow(run, "key long, n long, size double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).orderBy("key").toArrow()
+    n = found.column("n").to_numpy()
+    return found.column("key").to_numpy()[n > 0], n[n > 0], float(np.sum(found.column("size").to_numpy()))
+
+
+def order_statistics(res: DataFrame, ranks: Callable[[int], list[int]]) -> tuple[dict[int, float], int, float]:
+    """The components of the given ranks from 0, their number and the sum of their sizes.
+
+    Components are counted by their highest 16 bits, and those in a bucket that holds a rank again by 10 bits more,
+    until few are left; so tasks hold counts alone, and nothing is sorted or gathered in one.
+    """
+    shift = 48
+    keys, n, size = _counts(res, shift, None)
+    total, asked = int(n.sum()), {}
+    before = np.r_[0, np.cumsum(n)]
+    for r in ranks(total) if total else []:
+        i = int(np.searchsorted(before, r, "right")) - 1
+        asked[r] = (int(keys[i]), r - int(before[i]), int(n[i]))
+    while shift and asked:
+        chosen = np.array(sorted({k for k, _, _ in asked.values()}), np.int64)
+        left = sum({k: held for k, _, held in asked.values()}.values())
+        above, shift = shift, 0 if left <= FEW_VALUES else max(0, shift - 10)
+        keys, n, _ = _counts(res, shift, (above, chosen))
+        own, before = keys >> (above - shift), np.r_[0, np.cumsum(n)]
+        first = dict(zip(chosen.tolist(), np.searchsorted(own, chosen).tolist(), strict=True))
+        for r, (k, place, _) in asked.items():
+            i = int(np.searchsorted(before, before[first[k]] + place, "right")) - 1
+            asked[r] = (int(keys[i]), int(before[first[k]] + place - before[i]), int(n[i]))
+    return {r: _number(k) for r, (k, _, _) in asked.items()}, total, size
 
 
 def train_codec(res: DataFrame, nbits: int) -> DataFrame:
-    """One row: cutoffs and weights are quantiles of all components pooled, avg_residual their mean size."""
+    """One row: cutoffs and weights are quantiles of all components pooled, exact, between two by their distance; avg_residual is their mean size."""
     n = 2**nbits
-    cut = F.array(*[F.lit(i / n) for i in range(1, n)])
-    mid = F.array(*[F.lit((i + 0.5) / n) for i in range(n)])
-    return res.select(F.explode("res").alias("x")).agg(F.percentile("x", cut).alias("cutoffs"), F.percentile("x", mid).alias("weights"), F.avg(F.abs("x")).alias("avg_residual")).select(F.lit(nbits).alias("nbits"), "cutoffs", "weights", "avg_residual")
+    shares = [i / n for i in range(1, n)] + [(i + 0.5) / n for i in range(n)]
+    own = res.select("res").persist(StorageLevel.MEMORY_AND_DISK)
+    found, total, size = order_statistics(own, lambda total: sorted({f(p * (total - 1)) for p in shares for f in (math.floor, math.ceil)}))
+    own.unpersist()
+
+    def quantile(p: float) -> float:
+        at = p * (total - 1)
+        low, high = math.floor(at), math.ceil(at)
+        return found[low] if found[low] == found[high] else (high - at) * found[low] + (at - low) * found[high]
+
+    values = [quantile(p) for p in shares] if total else None
+    row = (nbits, values and values[: n - 1], values and values[n - 1 :], size / total if total else None)
+    return res.sparkSession.createDataFrame([row], "nbits int, cutoffs array<double>, weights array<double>, avg_residual double")
 
 
 def codec_values(codec: DataFrame) -> tuple[int, list[float], list[float]]:
@@ -127,9 +249,53 @@ def _array(x: list[float]) -> Column:
 
 
 def compress(res: DataFrame, codec: DataFrame) -> DataFrame:
-    """res with ``codes``, a bucket number per dimension."""
-    _, cutoffs, _ = codec_values(codec)
-    return res.withColumn("codes", V.bucketize("res", _array(cutoffs)).cast("array<tinyint>")).drop("res", "emb")
+    """res with ``codes``, a bucket number per dimension: the number of cutoffs strictly below."""
+    cutoffs = np.array(codec_values(codec)[1], np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                codes = np.searchsorted(cutoffs, _matrix(b.column("res")), "left").astype(np.int8)
+                own = b.drop_columns([x for x in ("res", "emb") if x in b.schema.names])
+                yield pa.RecordBatch.from_arrays([*own.columns, _lists(codes)], [*own.schema.names, "codes"])
+
+    return res.mapInArrow(run, T.StructType([x for x in res.schema if x.name not in ("res", "emb")] + [T.StructField("codes", T.ArrayType(T.ByteType()))]))
+
+
+def _bytes(codes: np.ndarray) -> pa.Array:
+    """Codes of up to 4 bits, two in a byte, the first in its high half."""
+    codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2))).astype(np.uint8)
+    return pa.array([x.tobytes() for x in codes[:, ::2] << 4 | codes[:, 1::2]], pa.binary())
+
+
+def coded(tokens: DataFrame, centroids: DataFrame, codec: DataFrame, packed: bool = False) -> DataFrame:
+    """compress of residuals of assign, in one pass of the tasks where the centroids are one block.  packed: codes are bytes, two in one."""
+    found = list(itertools.islice(matrix_blocks(centroids), 2))
+    kinds = T.StructType([x for x in tokens.schema if x.name != "emb"] + [T.StructField("cid", T.LongType()), T.StructField("codes", T.BinaryType() if packed else T.ArrayType(T.ByteType()))])
+    if len(found) != 1:
+        own = compress(residuals(assign(tokens, centroids), centroids), codec)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    at = b.schema.get_field_index("codes")
+                    yield b.set_column(at, "codes", _bytes(_matrix(b.column("codes"))))
+
+        return own.mapInArrow(pack, kinds) if packed else own
+    shared = tokens.sparkSession.sparkContext.broadcast((*found[0], np.array(codec_values(codec)[1], np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, m, cutoffs = shared.value
+        rows, single = max(1, SCORE_CELLS // len(ids)), m.astype(np.float32)
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column("emb"))
+                at = np.concatenate([best_cells(x[lo : lo + rows], m, single) for lo in range(0, len(x), rows)])
+                codes = np.searchsorted(cutoffs, x - m[at], "left").astype(np.int8)
+                own = b.drop_columns(["emb"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(ids[at]), _bytes(codes) if packed else _lists(codes)], [*own.schema.names, "cid", "codes"])
+
+    return tokens.mapInArrow(run, kinds)
 
 
 def decompress(index: DataFrame, centroids: DataFrame, codec: DataFrame) -> DataFrame:
@@ -224,8 +390,7 @@ def _sums(assigned: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _centroid_frame(spark: SparkSession, m: np.ndarray) -> DataFrame:
-    rows = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
-    return spark.createDataFrame(pa.table({"cid": pa.array(np.arange(len(m))), "emb": rows}))
+    return spark.createDataFrame(pa.table({"cid": pa.array(np.arange(len(m))), "emb": _lists(m)}))
 
 
 def kmeans(tokens: DataFrame, cells: int, iterations: int = 4, seed: int = 123) -> DataFrame:
@@ -234,18 +399,16 @@ def kmeans(tokens: DataFrame, cells: int, iterations: int = 4, seed: int = 123)
     start = tokens.orderBy(F.xxhash64("pid", "pos", F.lit(seed)), "pid", "pos").limit(cells).select("emb").toArrow()
     m = _matrix(start.column("emb").combine_chunks())
     for _ in range(iterations):
-        cid, n, total = _sums(assign(tokens.select("pid", "pos", "emb", weight), _centroid_frame(tokens.sparkSession, m)), m.shape[1])
+        sent: list[Broadcast] = []
+        cid, n, total = _sums(assign(tokens.select("pid", "pos", "emb", weight), _centroid_frame(tokens.sparkSession, m), sent), m.shape[1])
+        for x in sent:
+            x.destroy()
         m = m.copy()
         m[cid] = total / n[:, None]
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     return _centroid_frame(tokens.sparkSession, m)
 
 
-def distinct_vectors(tokens: DataFrame) -> DataFrame:
-    """(pid, pos, emb, weight): each different vector once, named by its hash, with the number of its tokens."""
-    return tokens.groupBy(F.xxhash64("emb").alias("pid")).agg(F.first("emb").alias("emb"), F.count(F.lit(1)).alias("weight")).select("pid", F.lit(0).alias("pos"), "emb", "weight")
-
-
 class Index:
     """The tables of an index, built in memory or read from a folder."""
 
@@ -253,30 +416,22 @@ class Index:
         self.centroids, self.codec, self.index, self.cells, self.meta = centroids, codec, index, cells, meta
 
     @classmethod
-    def build(cls, tokens: DataFrame, nbits: int = 4, centroids: DataFrame | None = None, cells: int | None = None, iterations: int = 4, seed: int = 123, heldout: bool | None = None, codec: DataFrame | None = None, repeats: bool = False) -> Index:
-        """heldout: whether the codec is trained on held-out tokens alone; by default where the cells are trained too, unless there are few tokens.
-
-        repeats: for encoders that give a word the same vector everywhere; each different vector is then clustered and assigned once.
-        """
+    def build(cls, tokens: DataFrame, nbits: int = 4, centroids: DataFrame | None = None, cells: int | None = None, iterations: int = 4, seed: int = 123, heldout: bool | None = None, codec: DataFrame | None = None) -> Index:
+        """heldout: whether the codec is trained on held-out tokens alone; by default where the cells are trained too, unless there are few tokens."""
         passages, n = tokens.agg(F.count_distinct("pid"), F.count(F.lit(1))).first()
         heldout = n >= HELDOUT_FROM and centroids is None if heldout is None else heldout
-        vectors = distinct_vectors(tokens).persist(StorageLevel.MEMORY_AND_DISK) if repeats else tokens
         if centroids is None:
-            picked = sample_pids(tokens, sample_size(passages), seed)
-            sample = tokens.join(picked, "pid", "left_semi")
-            sample = distinct_vectors(sample).persist(StorageLevel.MEMORY_AND_DISK) if repeats else sample
+            sample = tokens.join(sample_pids(tokens, sample_size(passages), seed), "pid", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
             cells = cells or min(number_of_cells(passages, n / max(1, passages)), n)
             centroids = kmeans(sample, cells, iterations, seed)
-        res = residuals(assign(vectors, centroids), centroids)
-        named = tokens.select("pid", "pos", F.xxhash64("emb").alias("v"))
-        spread = lambda r: named.join(r.withColumnRenamed("pid", "v").drop("pos", "weight"), "v").drop("v") if repeats else r
+            sample.unpersist()
         if codec is None:
-            whole = spread(res)
-            codec = train_codec(split_heldout(whole, seed=seed).where("heldout") if heldout else whole, nbits)
+            own = split_heldout(tokens, seed=seed, n=n).where("heldout").drop("heldout") if heldout else tokens
+            codec = train_codec(residuals(assign(own, centroids), centroids), nbits)
         values = codec_values(codec)
         codec = tokens.sparkSession.createDataFrame([(values[0], values[1], values[2])], "nbits int, cutoffs array<double>, weights array<double>")
         # Cells and search both read it; what memory cannot hold goes to disk, what is lost is built again.
-        index = spread(compress(res, codec)).select("cid", "pid", "pos", "codes").persist(StorageLevel.MEMORY_AND_DISK)
+        index = coded(tokens, centroids, codec).select("cid", "pid", "pos", "codes").persist(StorageLevel.MEMORY_AND_DISK)
         return cls(centroids, codec, index, cell_sizes(index, centroids), {"num_passages": passages, "num_embeddings": n, "avg_doclen": n / max(1, passages), "nbits": nbits})
 
     def write(self, path: str, mode: str = "errorifexists", keep: bool = False) -> Index:
@@ -303,7 +458,7 @@ class Index:
 
     def add(self, tokens: DataFrame) -> DataFrame:
         """Index rows of more tokens, under the centroids and codec there are."""
-        return compress(residuals(assign(tokens, self.centroids), self.centroids), self.codec).select("cid", "pid", "pos", "codes")
+        return coded(tokens, self.centroids, self.codec).select("cid", "pid", "pos", "codes")
 
     def extended(self, rows: DataFrame) -> Index:
         """With more rows, as ``add`` makes them and a stream writes them; its cells count them."""

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from .config import Config, number_of_cells, sample_size
 from .functions import vectors as V
 from .functions.encode import get_encoder
 from .operators import metrics, search, staged
+from .operators.words import WordIndex
 from .plans import build
 from .plans.build import Index
 from .plans.experiment import grid_frame, missing_configs
@@ -129,15 +129,12 @@ def _hash_search(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     bench = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").cast("string").alias("qid"), "text")
     enc = get_encoder("hash")
-    # Whole texts and whole queries: a document is one passage, however long.  The
-    # codec's quantiles are exact, so they are those of the held-out tokens.
+    # Whole texts and whole queries: a document is one passage, however long.
     c = Config()
-    tokens = enc(docs, None).select(F.col("id").alias("pid"), "pos", "emb").persist(StorageLevel.MEMORY_AND_DISK)
-    index = Index.build(tokens, c.nbits, iterations=c.kmeans_iters, heldout=True, repeats=True)
-    bound = min(c.bound, index.cells.count())
+    index = WordIndex.build(docs, enc, c.nbits, iterations=c.kmeans_iters)
     # All cells within the bound are probed, and a word that misses a document counts as the last of them:
     # the default of t_prime, 1 in a small index, would count it as the best, above what was found.
-    return _ranked(search.search_text(index, bench, enc, K, None, nprobe=bound, bound=bound, t_prime=index.meta["num_embeddings"], engine="repeats"))
+    return _ranked(index.search(bench.select(F.col("qid").alias("id"), "text"), K, c.bound, index.num_tokens))
 
 
 def _nearest(spark: SparkSession, d: str, nbits: int = 4) -> DataFrame:
