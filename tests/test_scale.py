@@ -79,3 +79,30 @@ def test_best_cells_on_ties():
     m[20] = m[3] * (1 + 1e-9)
     x = np.concatenate([r.normal(size=(300, 16)), m, np.zeros((2, 16)), m[:4] * 1e30])
     assert build.best_cells(x, m, m.astype(np.float32)).tolist() == np.round(x @ m.T, 12).argmax(1).tolist()
+
+
+@pytest.mark.parametrize("few", [4, 1 << 18])
+def test_quantiles_are_counted(spark, monkeypatch, few):
+    """Exact quantiles from counts, whether values are refined to the last bit or few are left early; repeats, both zeros and signs among them."""
+    monkeypatch.setattr(build, "FEW_VALUES", few)
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=700), r.normal(size=200) * 1e-6, np.full(150, 0.25), np.zeros(30), -np.zeros(20), [-1e300, 1e300, 5e-324, -5e-324]]).reshape(-1, 4)
+    res = spark.createDataFrame([(v.tolist(),) for v in r.permutation(x)], "res array<double>").repartition(3)
+    got = build.train_codec(res, 4).first()
+    for found, shares in ((got.cutoffs, np.arange(1, 16) / 16), (got.weights, (np.arange(16) + 0.5) / 16)):
+        at = shares * (x.size - 1)
+        low, high = np.sort(x.ravel())[np.floor(at).astype(int)], np.sort(x.ravel())[np.ceil(at).astype(int)]
+        assert np.allclose(found, low + (high - low) * (at % 1), rtol=1e-12, atol=0)
+    assert got.avg_residual == pytest.approx(np.abs(x).mean())
+    none = build.train_codec(res.limit(0), 2).first()
+    assert none.cutoffs is None and none.weights is None
+
+
+def test_no_task_gathers_the_components(spark, monkeypatch):
+    """Passes over the components return counts: far fewer rows than components, even where all are different."""
+    seen, counts = [], build._counts
+    monkeypatch.setattr(build, "_counts", lambda *x: seen.append(len((y := counts(*x))[0])) or y)
+    monkeypatch.setattr(build, "FEW_VALUES", 256)
+    res = spark.range(2000).select(F.array([F.rand(i) - 0.5 for i in range(16)]).alias("res"))
+    build.train_codec(res, 4)
+    assert 2 < len(seen) and max(seen) < 25_000 and seen[-1] <= 62 * 256 < 32_000
