@@ -9,6 +9,7 @@ hit, so no outer join is needed.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
-from ..plans.build import Index, _array, _matrix, codec_values, matrix_blocks
+from ..plans.build import SCORE_CELLS, Index, _array, _matrix, codec_values, matrix_blocks
+
+#: Of searches with one token on either side: queries and tokens that meet in a task, and scores that it holds at once.
+NEAREST_QUERIES, NEAREST_TOKENS, NEAREST_SCORES = 2048, 131_072, 2 << 20
 
 
 def real_tokens(query_tokens: DataFrame) -> DataFrame:
@@ -159,6 +163,68 @@ def search(index: Index, query_tokens: DataFrame, k: int = 10, nprobe: int = 16,
     return top_k(passage_scores(maxima, missed), k)
 
 
+def nearest(index: Index, asked: DataFrame, k: int = 10, nprobe: int = 16) -> DataFrame:
+    """search where queries and passages have one token each, so that nothing is added up: a passage scores as its token.
+
+    Blocks of queries meet blocks of tokens, and only the best k passages of a block leave it by query; what is
+    multiplied grows with both, but what is held in a task doesn't, and what is shuffled is little more than the rows.
+    """
+    found = list(itertools.islice(matrix_blocks(index.centroids), 2))
+    if len(found) != 1:
+        return search(index, asked, k, nprobe, None, max(nprobe, index.cells.count()))
+    asked = real_tokens(asked).select("qid", "emb")
+    shared = asked.sparkSession.sparkContext.broadcast((*found[0], np.array(codec_values(index.codec)[2], np.float64)))
+    kinds = {"qid": asked.schema["qid"].dataType.simpleString(), "pid": index.index.schema["pid"].dataType.simpleString()}
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, m, _ = shared.value
+        rows = max(1, SCORE_CELLS // len(ids))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, rows):
+                b = whole.slice(lo, rows)
+                best = np.argsort(-np.round(_matrix(b.column("emb")) @ m.T, 12), axis=1, kind="stable")[:, :nprobe]
+                bits = np.zeros((b.num_rows, len(ids)), bool)
+                np.put_along_axis(bits, best, True, axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("emb"), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], ["qid", "emb", "cells"])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, m, weights = shared.value
+        out = pa.table({"qid": left.column("qid").slice(0, 0), "pid": right.column("pid").slice(0, 0), "score": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return out
+        q = _matrix(left.column("emb").combine_chunks())
+        bits = np.frombuffer(b"".join(left.column("cells").to_pylist()), np.uint8).reshape(len(q), -1)
+        cell = np.searchsorted(ids, right.column("cid").to_numpy())
+        x = weights[right.column("codes").combine_chunks().flatten().to_numpy().reshape(len(cell), -1)]
+        for lo in range(0, len(x), 8192):
+            x[lo : lo + 8192] += m[cell[lo : lo + 8192]]
+        rank = np.empty(len(x), np.int64)
+        rank[np.argsort(right.column("pid").to_numpy(), kind="stable")] = np.arange(len(x))
+        own, passages, scores = [], [], []
+        step = max(1, NEAREST_SCORES // len(x))
+        for lo in range(0, len(q), step):
+            here = np.unpackbits(bits[lo : lo + step], axis=1, count=len(ids)).astype(bool)[:, cell]
+            s = np.where(here, q[lo : lo + step] @ x.T, -np.inf)
+            last = np.partition(s, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(s), -np.inf)
+            row, at = np.nonzero(here & (s >= last[:, None] - 1e-9))
+            order = np.lexsort((rank[at], -np.round(s[row, at], 10), row))
+            row, at = row[order], at[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            own.append(row[keep] + lo)
+            passages.append(at[keep])
+            scores.append(s[row[keep], at[keep]])
+        return pa.table({"qid": left.column("qid").take(pa.array(np.concatenate(own))), "pid": right.column("pid").take(pa.array(np.concatenate(passages))), "score": pa.array(np.concatenate(scores))})
+
+    parts = lambda n, block: max(1, -(-n // block))
+    groups, blocks = parts(asked.count(), NEAREST_QUERIES), parts(index.meta["num_embeddings"], NEAREST_TOKENS)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    named = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.mapInArrow(probed, f"qid {kinds['qid']}, emb array<double>, cells binary").select(named("qid", groups).alias("a"), every(blocks).alias("b"), "qid", "emb", "cells")
+    right = index.index.select(every(groups).alias("c"), named("pid", blocks).alias("d"), "pid", "cid", "codes")
+    best = left.groupBy("a", "b").cogroup(right.groupBy("c", "d")).applyInArrow(run, f"qid {kinds['qid']}, pid {kinds['pid']}, score double")
+    return top_k(best, k)
+
+
 def search_text(index: Index, queries: DataFrame, encoder, k: int = 10, max_tokens: int | None = 32, **options) -> DataFrame:  # noqa: ANN001
     """Queries as (qid, text), encoded by an encoder of the registry."""
     q = encoder(queries.select(F.col("qid").alias("id"), "text"), max_tokens).select(F.col("id").alias("qid"), F.col("pos").alias("t"), "emb")

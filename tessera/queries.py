@@ -143,7 +143,7 @@ def _nearest(spark: SparkSession, d: str, nbits: int = 4) -> DataFrame:
     asked = emb.where("pid % 50 = 0").select(F.col("pid").alias("qid"), F.col("pos").alias("t"), "emb")
     index = Index.build(emb, nbits)
     cells = index.cells.count()
-    found = search.search(index, asked, 10 * K, max(1, cells // 4), None, cells).select("qid", "pid")
+    found = search.nearest(index, asked, 10 * K, max(1, cells // 4)).select("qid", "pid")
     return _ranked(search.top_k(staged.maxsim(staged.token_similarities(asked, emb, found)), K))
 
 

@@ -106,3 +106,19 @@ def test_no_task_gathers_the_components(spark, monkeypatch):
     res = spark.range(2000).select(F.array([F.rand(i) - 0.5 for i in range(16)]).alias("res"))
     build.train_codec(res, 4)
     assert 2 < len(seen) and max(seen) < 25_000 and seen[-1] <= 62 * 256 < 32_000
+
+
+@pytest.mark.parametrize("k", [3, 40, 500])
+def test_nearest_in_blocks(spark, monkeypatch, k):
+    """One token on either side: blocks of both find what the search of all finds, and no pair of a query and a token is shuffled."""
+    monkeypatch.setattr(search, "NEAREST_QUERIES", 7)
+    monkeypatch.setattr(search, "NEAREST_TOKENS", 60)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(300, 16))
+    x[200:] = x[:100]
+    tokens = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "pid long, pos long, emb array<double>")
+    index = build.Index.build(tokens, 4, cells=24)
+    asked = tokens.where("pid % 9 = 0").select(F.col("pid").alias("qid"), F.col("pos").alias("t"), "emb")
+    of = lambda df: sorted((r.qid, r["rank"], r.pid, round(r.score, 8)) for r in df.collect())
+    got = of(search.nearest(index, asked, k, 6))
+    assert got == of(search.search(index, asked, k, 6, None, 24)) and len(got) > 34
